@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import bpe, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op3_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
