@@ -69,11 +69,16 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        if len(np.unique(made)) != len(made):
+            raise ValueError("a token has two merges; rounds of equal pairs need one")
         keys, first = np.unique(keys, return_index=True)
         self.keys, self.ranks, self.made = keys, first, made[first]
 
     def merged(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: in every round each word merges its leftmost pair of lowest rank."""
+        """Token ids of each word: in every round each word merges its pairs of lowest rank.
+
+        Every token is made by one merge, so what a round makes can only join in pairs of higher rank.
+        """
         out: list[list[int]] = [[] for _ in words]
         flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
@@ -82,12 +87,17 @@ class Vocabulary:
             keys = flat[:-1] << 32 | flat[1:]
             at = np.minimum(np.searchsorted(self.keys, keys), none - 1)
             found = (self.keys[at] == keys) & (owner[:-1] == owner[1:])
-            order = np.where(found, self.ranks[at], none).astype(np.int64) << 32 | np.arange(len(keys))
+            order = np.where(found, self.ranks[at], none).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(np.r_[order, none << 32], starts)
+            best = np.minimum.reduceat(np.r_[order, none], starts)
             whose = owner[starts]
-            more = best >> 32 < none
-            place = best[more] & 0xFFFFFFFF
+            more = best < none
+            # All the word's pairs of that rank at once, leftmost first: of pairs that overlap, every other one.
+            least = np.full(len(words), -1)
+            least[whose[more]] = best[more]
+            place = np.flatnonzero(found & (self.ranks[at] == least[owner[:-1]]))
+            first = np.r_[True, np.diff(place) > 1]
+            place = place[(place - place[first][np.cumsum(first) - 1]) % 2 == 0]
             flat[place] = self.made[at[place]]
             keep = np.ones(len(flat), bool)
             keep[place + 1] = False
