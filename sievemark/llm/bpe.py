@@ -96,7 +96,7 @@ class Vocabulary:
             least = np.full(len(words), -1)
             least[whose[more]] = best[more]
             place = np.flatnonzero(found & (self.ranks[at] == least[owner[:-1]]))
-            first = np.r_[True, np.diff(place) > 1]
+            first = np.r_[True, np.diff(place) > 1][: len(place)]
             place = place[(place - place[first][np.cumsum(first) - 1]) % 2 == 0]
             flat[place] = self.made[at[place]]
             keep = np.ones(len(flat), bool)
