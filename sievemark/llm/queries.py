@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, decontamination, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_bpe": bpe.query,
+    "op9_decontamination": decontamination.query,
 }
 ORACLES: dict[str, str] = {}
