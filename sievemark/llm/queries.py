@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, secrets
+from . import bpe, decontamination, ngram_join, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_bpe": bpe.query,
     "op9_decontamination": decontamination.query,
+    "op10_ngram_join": ngram_join.query,
 }
 ORACLES: dict[str, str] = {}
