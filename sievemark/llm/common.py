@@ -72,3 +72,20 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def fold_of(doc_id, folds: int):
+    """crc32 of the id as text, modulo folds."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:
+    """(id, text, y) of at most per_class labelled documents of each class: those of lowest hashed id.
+
+    `learn` is a condition on labels.doc_id. The ids are bounded by 2 * per_class, so they are broadcast; texts stay
+    in Spark. A document with several labels counts with the highest.
+    """
+    held = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    held = held.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
+    some = [held.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    return id_and_text(docs, "doc_id", "text").join(F.broadcast(some[0].union(some[1])), "id").select("id", "text", "y")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, ngram_join, secrets
+from . import bpe, decontamination, line_dedup, ngram_join, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_quality": quality.query,
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
 }
