@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, ngram_join, quality, secrets
+from . import bpe, decontamination, line_dedup, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
+    "op6_toxicity": toxicity.query,
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
 }
