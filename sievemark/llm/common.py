@@ -79,15 +79,17 @@ def fold_of(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, extra: str | None = None) -> DataFrame:
-    """(id, text, y, lang) of at most per_class labelled documents of each class: those of lowest hashed id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class, extra: str | None = None) -> DataFrame:
+    """(id, text, y, lang) of at most per_class (one bound, or one for each of 0 and 1) labelled documents of each class.
 
+    Those of lowest hashed id are taken.
     `learn` is a condition on labels.doc_id. The ids are bounded by 2 * per_class, so they are broadcast; texts stay
     in Spark. A document with several labels counts with the highest. `extra` names the column that becomes lang.
     """
     held = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     held = held.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    some = [held.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    bounds = (per_class, per_class) if isinstance(per_class, int) else per_class
+    some = [held.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bounds[y]) for y in (0, 1)]
     lang = docs[extra].cast("string") if extra else F.lit(None).cast("string")
     body = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang"))
     return body.join(F.broadcast(some[0].union(some[1])), "id").select("id", "text", "y", "lang")

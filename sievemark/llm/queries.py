@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, ngram_join, quality, secrets, toxicity
+from . import bpe, decontamination, extraction, line_dedup, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
     "op6_toxicity": toxicity.query,
+    "op8_extraction": extraction.query,
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
 }
