@@ -295,6 +295,8 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
 
     def page() -> str:
         body = f"<h1 data-y=1>{say(2, 10)}</h1>" * (rng.random() < 0.8) + some(1, 9, block)
+        if rng.random() < 0.25:  # many short paragraphs
+            body += some(5, 60, lambda: f"<p data-y=1>{say(1, 4)}</p>")
         if rng.random() < 0.3:
             body = f"{body}{noise()}{some(0, 3, block)}"
         main = ["content", "post", "entry", "article", "story", "article-body", "main", "text", "post-content", "entry-content", "body"]
