@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, extraction, line_dedup, ngram_join, quality, secrets, toxicity
+from . import (
+    bpe,
+    decontamination,
+    extraction,
+    line_dedup,
+    neighbours,
+    ngram_join,
+    quality,
+    secrets,
+    toxicity,
+    wordpiece,
+)
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_neighbours": neighbours.query,
     "op3_bpe": bpe.query,
     "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
     "op6_toxicity": toxicity.query,
+    "op7_token_counts": wordpiece.query,
     "op8_extraction": extraction.query,
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
