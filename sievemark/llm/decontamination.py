@@ -258,46 +258,58 @@ def find(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     with_text: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, list]:
-    """Per document: id, text (or null), n_words, merged spans of hit words, and the items found; the phrases' handles."""
-    found = common.id_and_text(docs, id_col, text_col)
+    """Per document: id, text (or null), n_words, merged spans of hit words, and the items found; the phrases' handles.
+
+    `carry` names further columns of docs, which come last.
+    """
+    more = [docs[c] for c in carry]
+    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)
+    first, schema = True, FOUND + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     some = blocks(items, item_col, item_text_col, block_bytes)
-    fields = common.arrow_schema(docs.sparkSession, FOUND)
+    fields = common.arrow_schema(docs.sparkSession, schema)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
     held, handles = next(some), []
     while held is not None:
         coming = next(some, None)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(held, window))
         handles.append(phrases)
-        found = found.mapInArrow(_pass(phrases, fields, with_text or coming is not None), FOUND)
+        found = found.mapInArrow(_pass(phrases, fields, with_text or coming is not None, first), schema)
+        first = False
         held = coming
     return found, handles
 
 
-def _pass(phrases, fields: pa.Schema, keep: bool):
+def _pass(phrases, fields: pa.Schema, keep: bool, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(phrases.value), []
+        shard, held, carried = Shard(phrases.value), [], []
 
         def flush() -> pa.RecordBatch:
+            more = [pa.concat_arrays([b.column(i) for b in carried]) for i in range(len(fields) - 5)]
             hits = shard.hits()
             spans = [merged(old, hits.get(i, ((), ()))[0]) for i, (_, _, old, _) in enumerate(held)]
             items = [sorted(old | hits[i][1]) if i in hits else sorted(old) for i, (*_, old) in enumerate(held)]
-            return pa.RecordBatch.from_pydict({
-                "id": [h[0] for h in held], "text": pa.array([h[1] for h in held], pa.binary()).cast(pa.string()),
-                "n_words": shard.words, "spans": [[{"start": s, "end": e} for s, e in x] for x in spans], "items": items,
-            }, schema=fields)
+            own = [
+                [h[0] for h in held], pa.array([h[1] for h in held], pa.binary()).cast(pa.string()), shard.words,
+                [[{"start": s, "end": e} for s, e in x] for x in spans], items,
+            ]
+            return pa.RecordBatch.from_pydict(dict(zip(fields.names, own + more, strict=True)), schema=fields)
 
         for batch in batches:
             ids, bodies = common.texts(batch)
-            before = batch.num_columns > 2
-            olds = batch.column(3).to_pylist() if before else [()] * len(ids)
-            names = batch.column(4).to_pylist() if before else [()] * len(ids)
-            for doc, body, old, own in zip(ids, bodies, olds, names, strict=True):
+            olds = [()] * len(ids) if first else batch.column(3).to_pylist()
+            names = [()] * len(ids) if first else batch.column(4).to_pylist()
+            more, start = batch.select(range(2 if first else 5, batch.num_columns)), 0
+            for i, (doc, body, old, own) in enumerate(zip(ids, bodies, olds, names, strict=True)):
                 shard.add(body, len(body) if keep else 0)
                 held.append((doc, body if keep else None, [(x["start"], x["end"]) for x in old], set(own)))
                 if shard.full:
+                    carried.append(more.slice(start, i + 1 - start))
                     yield flush()
-                    shard, held = Shard(phrases.value), []
+                    shard, held, carried, start = Shard(phrases.value), [], [], i + 1
+            if start < len(ids):
+                carried.append(more.slice(start))
         if held:
             yield flush()
 
@@ -328,13 +340,18 @@ def report(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
     )
 
 
-def removed(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+def removed(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **columns
+) -> DataFrame:
     """id and text of the documents, hit words cut out of their texts; `contaminated` marks those that lost words.
 
+    `carry` names further columns that go along.
+
     A cut leaves a line break. Where what stands around it would be hit again, the whole remaining text goes.
     """
-    found, handles = find(docs, items, id_col, text_col, **columns)
+    found, handles = find(docs, items, id_col, text_col, carry=carry, **columns)
     schema = "id long, text string, contaminated boolean"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     fields = common.arrow_schema(docs.sparkSession, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +361,9 @@ def removed(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             for text, own in zip(common.texts(batch)[1], spans, strict=True):
                 rest = without(text, [(x["start"], x["end"]) for x in own])
                 out.append(b"" if own and any(h.value.holds(rest) for h in handles) else rest)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column(0),
-                    "text": pa.array(out, pa.binary()).cast(pa.string()),
-                    "contaminated": [bool(s) for s in spans],
-                },
-                schema=fields,
-            )
+            own = [batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), [bool(s) for s in spans]]
+            own += batch.columns[5:]
+            yield pa.RecordBatch.from_pydict(dict(zip(fields.names, own, strict=True)), schema=fields)
 
     return found.mapInArrow(cut, schema)
 

@@ -47,9 +47,15 @@ def dedup(
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
     max_share: float = MAX_SHARE,
+    carry: bool = False,
 ) -> DataFrame:
-    """id, text without boilerplate lines, n_lines, n_removed and copy (whether it was left whole as a copy)."""
+    """id, text without boilerplate lines, n_lines, n_removed and copy (whether it was left whole as a copy).
+
+    With carry, a column `row` holds the whole row of df besides.
+    """
+    more = [F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else []
     docs = df.select(
+        *more,
         df[id_col].alias("id"),
         F.coalesce(df[text_col], F.lit("")).alias("text"),
         df[site_col].cast("string").alias("site"),
@@ -72,8 +78,10 @@ def dedup(
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
     kept = F.when(F.col("removed").isNull(), parts).otherwise(F.filter(parts, lambda x: ~is_removed(x)))
     copy = F.col("removed").isNotNull() & (chars(parts) - chars(kept) > max_share * chars(parts))
-    out = joined.select("id", "text", parts.alias("all"), kept.alias("kept"), F.coalesce(copy, F.lit(False)).alias("copy"))
+    more = ["row"] if carry else []
+    out = joined.select(*more, "id", "text", parts.alias("all"), kept.alias("kept"), F.coalesce(copy, F.lit(False)).alias("copy"))
     return out.select(
+        *more,
         "id",
         F.when(F.col("copy") | (F.size("kept") == F.size("all")), F.col("text"))
         .otherwise(F.array_join("kept", "\n"))

@@ -177,6 +177,24 @@ def score_documents(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_co
     return common.map_texts(common.id_and_text(df, id_col, text_col), rows, "id long, score double")
 
 
+def keep_good(
+    df: DataFrame, trees: Trees, text_col: str = "text", least: float = THRESHOLD
+) -> DataFrame:
+    """The rows of df, all columns, whose text has a score of at least `least`."""
+    held = df.sparkSession.sparkContext.broadcast(trees)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bodies = batch.column(at).cast(pa.large_binary()).to_pylist()
+                scores = held.value.scores(np.array([statistics(b or b"") for b in bodies]))
+                yield batch.filter(pa.array(scores >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score_documents(docs, trained(docs, common.table(spark, sf_dir, "labels")))

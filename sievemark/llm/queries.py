@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import (
     bpe,
     decontamination,
@@ -16,6 +18,7 @@ from . import (
 )
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_secret_scan": secrets.query,
     "op2_neighbours": neighbours.query,
     "op3_bpe": bpe.query,
