@@ -2,9 +2,9 @@
 
 A document's set is its distinct shingles. Documents of equal sets form a class, and one representative stands for all.
 Every set has a prefix under one global order (rare shingles first) such that two sets that link share a shingle of
-their prefixes. A tile is the representatives that share a prefix shingle and a size band. In each tile everything
-is compared with one leader, leaders with the leader of the next band; then only representatives of other
-components than the main one of their shingle are compared further, with all that share the shingle. A compared pair is
+their prefixes. A tile is the representatives that share a prefix shingle and a size band. Everything in a tile is compared
+with one leader of the tile and of the neighbouring bands; then only representatives of other components than the main
+one of their shingle are compared further, with those that share the shingle early enough in both prefixes. A compared pair is
 first bounded from above by bit counts of its signatures; the pairs left are decided by exact intersection.
 No link between different components is lost, and a large group of near copies costs a star, not all pairs.
 
@@ -31,8 +31,8 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Most frequent shingles that are ordered last: a bound of what is broadcast; any choice gives the same links.
-HOT_SHINGLES, HOT_LEAST = 1 << 16, 16
-COUNT_SHINGLES = 1 << 21  # counted at once in a task
+HOT_SHINGLES, HOT_LEAST = 1 << 18, 6
+COUNT_SHINGLES = 1 << 22  # counted at once in a task
 FILTER_BITS = 23  # log2 of the bits that pre-select documents whose arrays are needed
 KNOWN_WORDS = 200_000
 
@@ -108,13 +108,13 @@ class Order:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(self.hashes >> np.uint64(46)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def prefix(self, own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         """The prefix of a set, and how many of the whole set aren't frequent."""
         n = len(own) - need(len(own), percent) + 1
-        hot = self.maybe[(own >> np.uint64(46)).astype(np.int64)] if len(self.hashes) else np.zeros(len(own), bool)
+        hot = self.maybe[(own >> np.uint64(42)).astype(np.int64)] if len(self.hashes) else np.zeros(len(own), bool)
         counts = np.zeros(len(own), np.int64)
         if hot.any():
             some = own[hot]
@@ -124,7 +124,11 @@ class Order:
 
 
 def frequent(source: DataFrame, words: int, most: int = HOT_SHINGLES, least: int = HOT_LEAST) -> Order:
-    """Counts of shingles over all documents (equal texts of one task once); the most frequent ones come back."""
+    """Counts of shingles over all documents; the most frequent ones come back.
+
+    Of the documents counted together those with the same two least hashes, mostly copies of each other, count once:
+    what should be ordered last is what different texts share.
+    """
     fields = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +140,12 @@ def frequent(source: DataFrame, words: int, most: int = HOT_SHINGLES, least: int
 
         for batch in batches:
             for body in common.texts(batch)[1]:
-                key = xxhash.xxh3_128_digest(body)
-                if key in sets:
+                own = shingles(body)
+                if (key := own[:2].tobytes()) in sets:
                     continue
                 sets.add(key)
-                held.append(shingles(body))
-                size += len(held[-1])
+                held.append(own)
+                size += len(own)
                 if size > COUNT_SHINGLES:
                     yield flush()
                     sets, held, size = set(), [], 0
@@ -179,9 +183,10 @@ def sets(source: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def shared_shingles(classes: DataFrame) -> DataFrame:
-    """(token, n, cold, rep) of prefix shingles that more than one class has."""
+    """(token, n, at, cold, rep) of prefix shingles that more than one class has; at is the place in the prefix."""
     spark = classes.sparkSession
-    fields = common.arrow_schema(spark, "token long, n int, cold int, rep long")
+    schema = "token long, n int, at int, cold int, rep long"
+    fields = common.arrow_schema(spark, schema)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +194,7 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
             prefix = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
             times = [len(x) for x in prefix]
             if prefix:
-                yield pa.RecordBatch.from_arrays([np.concatenate(prefix), np.repeat(n, times).astype(np.int32), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times)], schema=fields)
+                yield pa.RecordBatch.from_arrays([np.concatenate(prefix), np.repeat(n, times).astype(np.int32), np.concatenate([np.arange(k, dtype=np.int32) for k in times]), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times)], schema=fields)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, again = None, False  # the row before, and whether the one before it has its token
@@ -205,8 +210,8 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
         if last is not None and again:
             yield last
 
-    rows = classes.select("rep", "n", "cold", "prefix").mapInArrow(explode, "token long, n int, cold int, rep long")
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(several, "token long, n int, cold int, rep long")
+    rows = classes.select("rep", "n", "cold", "prefix").mapInArrow(explode, schema)
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(several, schema)
 
 
 def size_band(n, percent: int):
@@ -278,12 +283,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     shared = common.written(shared_shingles(classes), "shared")
 
     tiles = shared.withColumn("band", size_band(F.col("n"), percent))
-    leaders = tiles.groupBy("token", "band").agg(F.min(F.struct("cold", "rep")).alias("first"), F.count("*").alias("k"))
-    leaders = leaders.select("token", "band", "k", F.col("first.rep").alias("leader"))
-    stars = tiles.join(leaders.filter("k > 1"), ["token", "band"]).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    next_band = leaders.select("token", (F.col("band") - 1).alias("band"), F.col("leader").alias("b"))
-    stairs = leaders.join(next_band, ["token", "band"]).select(F.col("leader").alias("a"), "b")
-    both = stars.union(stairs).filter("a != b")
+    leaders = tiles.groupBy("token", "band").agg(F.min(F.struct("cold", "rep")).alias("first"))
+    leaders = leaders.select("token", "band", F.col("first.rep").alias("leader"))
+    nearby = leaders.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("leader").alias("a"))
+    stars = tiles.join(nearby, ["token", "band"]).select("a", F.col("rep").alias("b"))
+    both = stars.filter("a != b")
     first = common.written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = decided(first, classes, source, words, percent)
     label = components(links)
@@ -294,8 +298,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     apart = where.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
     where = common.written(where.join(apart, "token"), "apart")
     main = where.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = where.join(main, "token").filter("component != main").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    cross = outside.join(where, "token").filter(f"component != cx and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+    outside = where.join(main, "token").filter("component != main").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    # A pair that links has its first common shingle where enough is left of both sets.
+    cross = outside.join(where, "token").filter(
+        f"component != cx and {100 + percent} * least(n - at, nx - ax) >= {percent} * (n + nx)"
+    )
     second = cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     second = common.written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = decided(second, classes, source, words, percent)
