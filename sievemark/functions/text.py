@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Soft hyphen, zero-width space, non-joiner and joiner, byte order mark.
 INVISIBLE = "[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF))) + "]"
@@ -76,7 +77,7 @@ MARKED = "áàâäãåčçćďéèêëěíìîïľĺňñńóòôöõřŕšśťú
 PLAIN = "aaaaaacccdeeeeeiiiillnnnooooorrsstuuuuuyyzzzAAAAAACCCDEEEEEIIIILLNNNOOOOORRSSTUUUUUYYZZZ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(text):
     """Any text decomposed, its non-spacing marks dropped, and composed again."""
     import unicodedata as u
