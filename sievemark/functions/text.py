@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Soft hyphen, zero-width space, non-joiner and joiner, byte order mark.
 INVISIBLE = "[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF))) + "]"
@@ -127,3 +127,54 @@ def mock_probability(question: Column, text: Column, tokens: Column) -> Column:
     noise = F.round(word.cast("double") / 65535.0 * 0.08 - 0.04, 3)
     hit = F.exists(tokens, lambda t: F.contains(F.lower(text), F.lower(t)))
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(hit, 0.9).otherwise(0.06) + noise)), 3)
+
+
+#: Abbreviations after which a full stop doesn't end a sentence.
+ABBREVIATIONS = frozenset("approx dr mr mrs ms prof st vs etc e.g i.e cf no fig art al inc ltd co bzw z.b u.a usw ca nr str tel tj atd apod např č ul".split())
+CLOSING = "\"'”“»’)]"
+
+
+def sentence_list(text: str | None, most: int = 1000) -> list[str]:
+    """Sentences of a text: abbreviations, initials, dates and ellipses go on; closing quotes belong to what they close.
+
+    A sentence over `most` characters is cut at the last "; ", ", ", dash or space in its second half, else hard.
+    """
+    out: list[str] = []
+    for line in (text or "").split("\n"):
+        start, at, n = 0, 0, len(line)
+        while at < n:
+            if line[at] not in ".!?…":
+                at += 1
+                continue
+            end = at + 1
+            while end < n and line[end] in ".!?…":
+                end += 1
+            while end < n and line[end] in CLOSING:
+                end += 1
+            word = line[start:at].rpartition(" ")[2].lower().lstrip("(\"'„“«")
+            following = line[end:].lstrip()[:1]
+            open_ = line[at] == "." and end == at + 1 and (
+                word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or word.isdigit() and len(word) <= 2
+            )
+            if end < n and (not line[end].isspace() or open_ or following.islower()):
+                at = end
+                continue
+            out += _cut(line[start:end].strip(), most)
+            start = at = end
+        out += _cut(line[start:].strip(), most)
+    return out
+
+
+def _cut(sentence: str, most: int) -> list[str]:
+    out = []
+    while len(sentence) > most:
+        marks = (sentence.rfind(mark, most // 2, most) + len(mark.rstrip()) for mark in ("; ", ", ", " – ", " - ", " ") if sentence.rfind(mark, most // 2, most) >= 0)
+        at = next(marks, most)
+        out.append(sentence[:at].strip())
+        sentence = sentence[at:].strip()
+    return out + [sentence] * bool(sentence)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def split_sentences(text):
+    return text.map(sentence_list)
