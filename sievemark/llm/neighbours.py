@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BOOKS, WORDS, BEAM, ROUNDS, SAMPLE = 8, 256, 4, 2, 6_000
-RERANK, NEIGHBOURS, EVERY = 200, 20, 20
+BOOKS, WORDS, BEAM, ROUNDS, SAMPLE = 16, 256, 4, 1, 8_000
+RERANK, NEIGHBOURS, EVERY = 400, 20, 20
 BLOCK, QUERIES, CHUNK = 16_384, 8_192, 32  # candidates of a block, queries of a block, queries scored together
 
 
