@@ -71,3 +71,23 @@ def test_index_counts_and_locates():
         p = p[p > 0]
         want = [i for i in range(len(text) - len(p) + 1) if (text[i : i + len(p)] == p).all()]
         assert sorted(index.locate(np.arange(lo, hi)).tolist()) == want
+
+
+def test_shards_end_anywhere(spark, monkeypatch):
+    """Small shards that end within Arrow batches, with carried columns."""
+    import types
+
+    import pyarrow as pa
+
+    from sievemark.llm import common
+
+    docs, items = fixture()
+    monkeypatch.setattr(dec, "SHARD_DOCS", 7)
+    fields = common.arrow_schema(spark, dec.FOUND + ", tag string")
+    rows = [(i, t or "", f"tag {i}") for i, t in docs]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("id", "text", "tag"), zip(*rows[a : a + 10], strict=True), strict=True))) for a in range(0, len(rows), 10)]
+    held = types.SimpleNamespace(value=dec.Phrases([(str(i), t or "") for i, t in items]))
+    out = pa.Table.from_batches(list(dec._pass(held, fields, True, True)(iter(batches)))).to_pylist()
+    assert [(r["id"], r["text"], r["tag"]) for r in out] == rows
+    for r, (_, t) in zip(out, docs, strict=True):
+        assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"])) == brute(t, items)[:2]
