@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to a Python worker, so that very long texts can't add up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more."""
+    """Delete tables of written() that nothing reads any more.
+
+    What made them is garbage then too: collecting it lets Spark's cleaner remove the shuffle files of those jobs.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for df in tables:
         for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = hadoop.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -14,7 +14,6 @@ table of documents gives an empty result, and one of items gives no hits.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,7 +32,7 @@ FOLD = bytes(
 )
 WORD = re.compile(rb"[^ ]+")
 #: Indexed words, documents and bytes of text of a shard; bytes of items in one block. They bound memory only.
-SHARD_WORDS, SHARD_DOCS, SHARD_BYTES, BLOCK_BYTES = 1 << 20, 50_000, 48 << 20, 8 << 20
+SHARD_WORDS, SHARD_DOCS, SHARD_BYTES, BLOCK_BYTES = 1 << 20, 50_000, 16 << 20, 8 << 20
 SAMPLE = 8  # every 8th position's suffix is kept
 
 

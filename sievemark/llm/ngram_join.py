@@ -32,7 +32,7 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Most frequent shingles that are ordered last: a bound of what is broadcast; any choice gives the same links.
 HOT_SHINGLES, HOT_LEAST = 1 << 18, 6
-COUNT_SHINGLES = 1 << 22  # counted at once in a task
+COUNT_SHINGLES = 3 << 20  # counted at once in a task
 FILTER_BITS = 23  # log2 of the bits that pre-select documents whose arrays are needed
 KNOWN_WORDS = 200_000
 
