@@ -258,10 +258,13 @@ def find(
     block_bytes: int = BLOCK_BYTES,
     with_text: bool = True,
     carry: tuple[str, ...] = (),
-) -> tuple[DataFrame, list]:
-    """Per document: id, text (or null), n_words, merged spans of hit words, and the items found; the phrases' handles.
+    last: str | None = None,
+    finish=None,
+) -> DataFrame:
+    """Per document: id, text (or null), n_words, merged spans of hit words, and the items found.
 
-    `carry` names further columns of docs, which come last.
+    `carry` names further columns of docs, which come last. `finish(handles)` makes a function that turns batches of
+    these columns into ones of the schema `last`; it runs within the last pass, so that no second worker holds the texts.
     """
     more = [docs[c] for c in carry]
     found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)
@@ -274,13 +277,15 @@ def find(
         coming = next(some, None)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(held, window))
         handles.append(phrases)
-        found = found.mapInArrow(_pass(phrases, fields, with_text or coming is not None, first), schema)
+        over = finish(handles) if finish and coming is None else None
+        step = _pass(phrases, fields, with_text or coming is not None, first, over)
+        found = found.mapInArrow(step, last if over else schema)
         first = False
         held = coming
-    return found, handles
+    return found
 
 
-def _pass(phrases, fields: pa.Schema, keep: bool, first: bool):
+def _pass(phrases, fields: pa.Schema, keep: bool, first: bool, finish=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, carried = Shard(phrases.value), [], []
 
@@ -293,7 +298,8 @@ def _pass(phrases, fields: pa.Schema, keep: bool, first: bool):
                 [h[0] for h in held], pa.array([h[1] for h in held], pa.binary()).cast(pa.string()), shard.words,
                 [[{"start": s, "end": e} for s, e in x] for x in spans], items,
             ]
-            return pa.RecordBatch.from_pydict(dict(zip(fields.names, own + more, strict=True)), schema=fields)
+            out = pa.RecordBatch.from_pydict(dict(zip(fields.names, own + more, strict=True)), schema=fields)
+            return finish(out) if finish else out
 
         for batch in batches:
             ids, bodies = common.texts(batch)
@@ -327,7 +333,7 @@ def merged(a, b) -> list[tuple[int, int]]:
 
 def report(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows and their digest."""
-    found, _ = find(docs, items, with_text=False, **columns)
+    found = find(docs, items, with_text=False, **columns)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         F.col("id").alias("doc_id"),
@@ -348,13 +354,12 @@ def removed(
 
     A cut leaves a line break. Where what stands around it would be hit again, the whole remaining text goes.
     """
-    found, handles = find(docs, items, id_col, text_col, carry=carry, **columns)
     schema = "id long, text string, contaminated boolean"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     fields = common.arrow_schema(docs.sparkSession, schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def cutter(handles: list):
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             spans = batch.column(3).to_pylist()
             out = []
             for text, own in zip(common.texts(batch)[1], spans, strict=True):
@@ -362,9 +367,11 @@ def removed(
                 out.append(b"" if own and any(h.value.holds(rest) for h in handles) else rest)
             own = [batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), [bool(s) for s in spans]]
             own += batch.columns[5:]
-            yield pa.RecordBatch.from_pydict(dict(zip(fields.names, own, strict=True)), schema=fields)
+            return pa.RecordBatch.from_pydict(dict(zip(fields.names, own, strict=True)), schema=fields)
+
+        return cut
 
-    return found.mapInArrow(cut, schema)
+    return find(docs, items, id_col, text_col, carry=carry, last=schema, finish=cutter, **columns)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
