@@ -31,7 +31,7 @@ from . import common
 LEXICON_WORDS, PROPOSED_WORDS = 40_000, 20_000
 LONGEST = 48  # bytes of a lexicon word
 CACHE_WORDS = 150_000
-TEXT_BYTES = 4 << 20  # of one Arrow batch
+TEXT_BYTES = 1 << 20  # of one Arrow batch
 
 #: A space before white space or at the end: splitting before spaces then isn't what the rule does.
 IRREGULAR = re.compile(
