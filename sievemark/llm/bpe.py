@@ -11,6 +11,7 @@ columns are read; an empty table gives an empty result. Texts are encoded whole,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -64,6 +65,7 @@ class Vocabulary:
             self.token_bytes[i] = bytes(symbols[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token
+        self.decimals = [str(i).encode() for i in range(size)]
         of = {self.token_bytes[i]: i for i in vocab.values()}
         self.byte_ids = np.array([of[bytes([b])] for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -180,7 +182,7 @@ class Lexicon:
         by_number = {np.dtype(t).num: np.dtype(t) for t in (np.int64, np.int32, np.bool_)}
         for number, length in head.tolist():
             dtype = by_number[number]
-            parts.append(whole[at : at + length * dtype.itemsize].view(dtype))
+            parts.append(np.asarray(whole[at : at + length * dtype.itemsize].view(dtype)))  # plain arrays slice faster
             at += length * dtype.itemsize + -(length * dtype.itemsize) % 8
         self.root, self.keys, self.target, self.output, self.finals, self.starts, self.ids = parts
 
@@ -234,6 +236,8 @@ class Encoder:
             return [text]
         whole = text.decode()
         if max(whole) < "ɐ":  # Latin: no doubt about what is a letter
+            if (whole[1:] if whole[0] == " " else whole).isalpha():
+                return [text]
             return [x.encode() for x in WORD.findall(whole)]
         return [whole[s:e].encode() for _, (s, e) in self.cut(whole)]
 
@@ -255,9 +259,10 @@ class Encoder:
         cuts = [self.pieces(c) for c in new]
         words = list({w for cut in cuts for w in cut})
         ids = dict(zip(words, self.encoded_words(words), strict=True))
+        decimal, shown = self.vocabulary.decimals.__getitem__, self.vocabulary.token_bytes.__getitem__
         for chunk, cut in zip(new, cuts, strict=True):
             own = ids[cut[0]] if len(cut) == 1 else [i for w in cut for i in ids[w]]
-            self.known[chunk] = (",".join(map(str, own)).encode(), len(own), self.decoded(own))
+            self.known[chunk] = (b",".join(map(decimal, own)), len(own), b"".join(map(shown, own)))
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Pieces that can be encoded apart from each other: words with the space before them, or by the full rule."""
@@ -351,7 +356,11 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, name: str, schema: str, r
         for batch in batches:
             encoder = encoder or Encoder(vocabulary_path(name), image.value)
             ids, bodies = common.texts(batch)
-            out = [row(doc, body, *found) for doc, body, found in zip(ids, bodies, encoder.digests(bodies), strict=True)]
+            gc.disable()  # many small objects and no cycles: counting references frees them all
+            try:
+                out = [row(doc, body, *found) for doc, body, found in zip(ids, bodies, encoder.digests(bodies), strict=True)]
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_pydict(dict(zip(fields.names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in fields.names}, schema=fields)
 
     return source.mapInArrow(run, schema)
