@@ -2,8 +2,9 @@
 
 HyperLogLog sketches of the sites of every line are merged by aggregation. A line whose estimate is far from the
 threshold is decided by it; lines near it get an exact distinct count. A line found on at least `min_sites` sites is
-boilerplate and goes from every document - unless it and others of its kind hold more than `max_share` of the document's
-characters: that document is a copy of another one and not page furniture, and stays whole for near-duplicate removal.
+boilerplate and goes from every document, whatever share of it such lines hold - unless they hold more than `max_share`
+of the document's characters and its whole text stands in a document of another id: that document is proven a copy, and
+stays whole for near-duplicate removal.
 
 A line is what stands between line breaks, without spaces, tabs and carriage returns around it; lines under `min_chars`
 characters are never boilerplate. Defined results: a null text is empty, and an empty one has one empty line;
@@ -69,7 +70,10 @@ def dedup(
     )
     found = boilerplate(lines, min_sites)
     own = lines.select("id", "key", "h1", "h2").join(found, ["h1", "h2"])
-    own = own.groupBy("id", "key").agg(F.collect_set("h1").alias("removed"))
+    own = common.written(own.groupBy("id", "key").agg(F.collect_set("h1").alias("removed")), "own")
+    # the copies of a text with found lines have those lines too, so all of them are in own
+    twice = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
+    own = own.join(twice.select("key", F.lit(True).alias("twice")), "key", "left")
     joined = docs.withColumn("key", F.xxhash64("text")).join(own, ["id", "key"], "left")
     parts = F.split("text", "\n")
     is_removed = lambda x: F.coalesce(
@@ -77,7 +81,7 @@ def dedup(
     )
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
     kept = F.when(F.col("removed").isNull(), parts).otherwise(F.filter(parts, lambda x: ~is_removed(x)))
-    copy = F.col("removed").isNotNull() & (chars(parts) - chars(kept) > max_share * chars(parts))
+    copy = F.col("twice") & (chars(parts) - chars(kept) > max_share * chars(parts))
     more = ["row"] if carry else []
     out = joined.select(*more, "id", "text", parts.alias("all"), kept.alias("kept"), F.coalesce(copy, F.lit(False)).alias("copy"))
     return out.select(

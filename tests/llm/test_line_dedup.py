@@ -31,6 +31,19 @@ def test_same_as_sql(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_only_proven_copies_stay_whole(spark):
+    wide = "one passage that stands on a dozen of sites"
+    docs = [(i, f"{wide}\nown {i}", f"s{i}") for i in range(12)] + [(20 + i, wide, f"s{i}") for i in range(2)]
+    docs += [(20, wide, "s0"), (30, f"{wide}\n{wide}", "s3")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.id: r for r in line_dedup.dedup(df).collect()}
+    assert all((got[i].text, got[i].n_removed, got[i].copy) == (f"own {i}", 1, False) for i in range(12))
+    assert all((got[i].text, got[i].n_removed, got[i].copy) == (wide, 0, True) for i in (20, 21))
+    assert (got[30].text, got[30].n_removed, got[30].copy) == ("", 2, False)
+    repeated = spark.createDataFrame(docs[:12] + docs[12:13] * 2, "doc_id long, text string, source string")
+    assert [(r.text, r.copy) for r in line_dedup.dedup(repeated).filter("id = 20").collect()] == [("", False)] * 2
+
+
 def test_spread_near_and_far_from_the_threshold(spark):
     rows = [(h, h, f"site{s}") for h, n in enumerate([1, 7, 8, 9, 10, 11, 12, 13, 40, 3000]) for s in range(n)]
     lines = spark.createDataFrame(rows * 2, "h1 long, h2 long, site string")
