@@ -4,8 +4,10 @@ The vocabulary becomes a trie with failure links. Each link carries the number o
 word's greedy word-piece length comes from one pass over its bytes, without building pieces. All distinct words of a
 batch walk the trie together in numpy.
 
-Words are runs without white space and ASCII punctuation; each punctuation character is a word. A word that greedy
-longest match can't cover counts as one unknown token. Defined results: null and empty texts have no words; repeated
+Words are runs without white space and ASCII punctuation; each punctuation character is a word. The query has the whole
+vocabulary: where no longer piece starts a word its bare start piece does, and a character without a piece is one token
+for each of its bytes. With a vocabulary that lacks those, a word that greedy longest match can't cover counts as one
+unknown token. Defined results: null and empty texts have no words; repeated
 rows get equal results; only the id and text columns are read; an empty table gives an empty result.
 """
 
@@ -26,9 +28,12 @@ TEXT_BYTES = 4 << 20
 
 
 class Matcher:
-    """first: pieces that start a word; rest: pieces that go on. All as UTF-8."""
+    """first: pieces that start a word; rest: pieces that go on. All as UTF-8, bytes of byte pieces as they are.
 
-    def __init__(self, first: Iterable[bytes], rest: Iterable[bytes]):
+    With bare, a piece of no characters can start a word too.
+    """
+
+    def __init__(self, first: Iterable[bytes], rest: Iterable[bytes], bare: bool = False):
         child: list[dict[int, int]] = [{}, {}]  # node 0 starts words, node 1 goes on
         last = [False, False]
         for root, pieces in ((0, first), (1, rest)):
@@ -42,6 +47,8 @@ class Matcher:
                     node = child[node][byte]
                 last[node] = node > 1
         fail, pops = [-1] * len(child), [0] * len(child)
+        if bare:
+            fail[0], pops[0] = 1, 1
         level = [(root, byte, node) for root in (0, 1) for byte, node in child[root].items()]
         while level:
             following = []
@@ -104,6 +111,16 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     return [p for p in first if p], rest
 
 
+def whole_matcher(path: str) -> Matcher:
+    """Matcher of all pieces of a sentencepiece file, the bare start piece and the byte pieces included."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    first, rest = vocabulary(path)
+    single = [bytes([int(model.id_to_piece(i)[1:-1], 16)]) for i in range(model.get_piece_size()) if model.is_byte(i)]
+    return Matcher(first, rest + single, bare=not model.is_unknown(model.piece_to_id("▁")))
+
+
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
@@ -139,4 +156,4 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_documents(common.table(spark, sf_dir, "documents"), Matcher(*vocabulary(vocabulary_path())))
+    return count_documents(common.table(spark, sf_dir, "documents"), whole_matcher(vocabulary_path()))

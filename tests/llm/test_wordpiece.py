@@ -46,3 +46,30 @@ def test_odd_rows(spark):
     got = sorted(wordpiece.count_documents(df, MATCHER).collect(), key=str)
     assert len(got) == 6 and sorted(r.n_words for r in got) == [0, 0, 0, 1, 2, 3]
     assert wordpiece.count_documents(df.limit(0), MATCHER).count() == 0
+
+
+def whole_greedy(word, pieces):
+    """Tokens of a word by greedy longest match over all pieces of the file, bytes where a character has none."""
+    body, at, n = "▁" + word, 0, 0
+    while at < len(body):
+        ends = range(min(len(body), at + 64), at, -1)
+        end = next((e for e in ends if body[at:e] in pieces and (at == 0 or body[at] != "▁")), 0)
+        n += 1 if end else len(body[at].encode())
+        at = end or at + 1
+    return n
+
+
+def test_whole_vocabulary(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=wordpiece.vocabulary_path())
+    ids = range(model.get_piece_size())
+    pieces = {model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    assert "▁" in pieces and max(map(len, pieces)) <= 64
+    words = ["ñandú", "ñ", "日本語" * 500, "\U0001f9ff", "a\U0001f9ffb", "x鿿y", "é", "the", "(", "á" * 9, "\u0378", "▁a▁"]
+    want = [whole_greedy(w, pieces) for w in words]
+    assert wordpiece.whole_matcher(wordpiece.vocabulary_path()).lengths([w.encode() for w in words]).tolist() == want
+    got = {r.doc_id: r for r in wordpiece.query(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        words = re.findall(r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+", r.text)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_unknown) == (sum(whole_greedy(w, pieces) for w in words), 0)
