@@ -1,8 +1,13 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import time
+import zlib
+
+import zstandard
 
 from sievemark.llm import secrets
 
@@ -54,3 +59,32 @@ def test_long_runs_take_linear_time():
     assert secrets.scan(b"a%41 " + b"x" * 2_000_000)[2] == 1
     assert secrets.scan(b"\\u0041 " + b"x;" * 1_000_000)[2] == 1
     assert time.perf_counter() - began < 60
+
+
+def test_whole_layers():
+    inner = b"password=hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    gz = gzip.compress(inner)
+    noise = bytes(range(256)) * 40
+    assert spans(f"x {b64(gzip.compress(gz))} y") != [] and spans(b64(zlib.compress(zlib.compress(inner)))) != []
+    assert spans("data=" + "".join(f"%{x:02X}" for x in gz)) != [] and spans("".join(f"%{x:02x}" for x in zlib.compress(inner))) != []
+    assert spans("".join(f"{chr(92)}x{x:02x}" for x in gz)) != []
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert spans(b64(pack(b"nothing here") + pack(inner))) != []
+        assert secrets.scan(b64(pack(b"a" * 5000 + inner + b"b" * 5000)).encode(), 1000)[1] != []
+    cut = gzip.compress(inner + b" " + noise)
+    assert spans(b64(cut[:-9])) != [] and spans(b64(cut[:-9] + b"broken" * 9)) != []
+    assert spans(b64(b"\0\xff" + inner + b"\x01")) != []
+    for packed in (b"some long text before it, well over a line of seventy-six columns " + inner, gzip.compress(noise + inner)):
+        for end in ("\n", "\r\n"):
+            lines = base64.encodebytes(packed).decode().replace("\n", end)
+            assert spans("word" + end + lines) != [] and spans("words:" + end + lines + " more") != [] and spans("a word" + end + "b" + end + lines) != []
+    text = "x " + base64.encodebytes(b"-" * 50 + inner + b" and more").decode()
+    assert [f"assign:{2 + 50 * 8 // 6}:{2 + 1 + (73 * 8 + 5) // 6}"] == spans(text)
+    assert spans("token%3D \"abcdef99\" b") == ["assign:0:18"]
+
+
+def test_rewritten_spans():
+    new, spread = secrets.rewritten(b"a%41%42b", secrets.ESCAPE, lambda x: bytes([int(x[1], 16)]))
+    assert new == b"aABb" and [spread(i, i + 1) for i in range(4)] == [(0, 1), (1, 4), (4, 7), (7, 8)]
+    assert spread(0, 4) == (0, 8) and spread(1, 3) == (1, 7)
