@@ -29,7 +29,11 @@ from . import common
 
 #: Fixed values of HTML: elements without content, raw text elements, block elements, and what ends an open element.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style textarea title noscript template svg iframe select option".split())
+RAW = set("script style textarea title".split())
+FOREIGN = {"svg", "math"}  # here and inside, a slash closes an element
+#: Elements with a node of their own that can stand within a paragraph; what is in them is judged like other blocks.
+NODES = set("template iframe select datalist".split())
+OPTIONS = {"option": {"option"}, "optgroup": {"option", "optgroup"}}  # open elements that an opening one ends
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary "
@@ -91,11 +95,11 @@ class Page:
             if m[2] is None:
                 continue
             tag, closing = m[2].lower(), bool(m[1])
-            block = tag in BLOCKS
+            block = tag in BLOCKS or tag in NODES
             if closing:
                 where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if where:
-                    if block or any(t in BLOCKS for t, _ in stack[where:]):
+                    if block or any(t in BLOCKS or t in NODES for t, _ in stack[where:]):
                         flush()
                     del stack[where:]
                 continue
@@ -103,6 +107,12 @@ class Page:
                 over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                 at = over.end() if over else end
                 continue
+            if m[3].endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+                continue
+            if tag in OPTIONS:
+                buffer.append(" ")
+                while stack[-1][0] in OPTIONS[tag]:
+                    stack.pop()
             if tag in VOID:
                 if tag == "hr":
                     flush()
@@ -111,7 +121,7 @@ class Page:
                 continue
             if block:
                 flush()
-                closes, stops = ENDS.get(tag, set()) | {"p"}, STOPS.get(tag, set())
+                closes, stops = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set()), STOPS.get(tag, set())
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in stops or stack[i][0] in ("table", "button") and tag not in ENDS:
                         break
@@ -126,7 +136,7 @@ class Page:
                         label = int(value == "1")
                     else:
                         names.append(value.lower())
-                if HIDDEN.search(m[3]):
+                if tag == "template" or HIDDEN.search(m[3]):
                     names.append("hidden")
                 self.parent.append(stack[-1][1])
                 self.tag.append(tag)

@@ -53,6 +53,24 @@ def test_markup(model):
     assert model.texts(["", "<", "<p", "<!--", "<script>x"])[0] == ""
 
 
+def test_nothing_swallows_the_rest(model):
+    """No element but script, style, textarea and title takes the text behind it along."""
+    rest = "<p>The second paragraph of this article is just as long as the first one.</p>"
+    for odd in (
+        "<svg class=icon />", "<svg><path d='M0'/><g><use href='#a'/></g></svg>", "<svg><title>Icon</title>", "<iframe src=/x>", "<iframe src=/x />",
+        "<datalist id=d><option value=a><option value=b></datalist>", "<select><option value=a><option value=b></select>",
+        "<template><template></template><i></i></template>", "<noscript>", "<option value=a>",
+    ):
+        page = f"<body><article><p>The first paragraph of this article has a number of words.</p>{odd}{rest}</article></body>"
+        assert "The second paragraph of this article is just as long as the first one." in model.texts([page])[0], odd
+    inside = lambda source: [text for _, text, _ in extraction.Page(source).blocks]
+    assert inside("<p>a <svg/>b <svg><path/></svg>c</p><p>d") == ["a b c", "d"]
+    assert inside("<noscript><p>read me</p></noscript>") == ["read me"]
+    assert inside("<p>pick <select><optgroup><option>x<option>y<optgroup><option>z</select> now</p>") == ["pick", "x y z", "now"]
+    nested = extraction.Page("<div><template>a<template>b</template>c</template>d</div>")
+    assert [(nested.tag[i], text) for i, text, _ in nested.blocks] == [("template", "a"), ("template", "b"), ("template", "c"), ("div", "d")]
+
+
 def test_pages(spark, model):
     pages = common.table(spark, SF, "pages")
     got = {r.page_id: r for r in extraction.query(spark, SF).collect()}
