@@ -165,14 +165,20 @@ def merged_same_text(judged: DataFrame, text: str, url: str) -> DataFrame:
     )
 
 
-def without_repeated(found: DataFrame, key: str, most: int = 40) -> DataFrame:
+def without_repeated(found: DataFrame, key: str, most: int = 40, jurisdictions: str | None = None) -> DataFrame:
     """Findings but those of secondary sources that a primary one of the same rule and URL contains.
 
-    found: key, rule_id, url, text, source ('primary' or 'secondary'). A contained text goes where the other has at most
-    `most` further characters. The join is on rule and URL; the containment is checked on those pairs.
+    found: key, rule_id, url (one, or an array of them), text, source ('primary' or 'secondary'). A contained text goes
+    where the other has at most `most` further characters and, if a column of `jurisdictions` (arrays) is named, all of its
+    own. The join is on rule and URL; the containment is checked on those pairs.
     """
-    main = found.filter("source = 'primary'").select("rule_id", "url", F.col("text").alias("whole"))
-    small = found.filter("source = 'secondary'")
+    covered = F.coalesce(jurisdictions or F.lit(None), F.array().cast("array<string>"))
+    urls = F.explode("url") if found.schema["url"].dataType.typeName() == "array" else F.col("url")
+    each = found.select(key, "rule_id", urls.alias("url"), "text", "source", covered.alias("jur"))
+    main = each.filter("source = 'primary'").select("rule_id", "url", F.col("text").alias("whole"), F.col("jur").alias("over"))
+    small = each.filter("source = 'secondary'")
     close = F.contains("whole", "text") & (F.length("whole") - F.length("text") <= most)
+    if jurisdictions:
+        close &= F.size(F.array_except("jur", "over")) == 0
     gone = small.join(main, ["rule_id", "url"]).filter(close).select(key).distinct()
     return found.join(gone, key, "left_anti")

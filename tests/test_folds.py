@@ -158,3 +158,16 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(make.__name__).count() == n
+
+
+def test_repeated_only_where_jurisdictions_are_covered(spark):
+    rows = [
+        (1, "R", ["a", "b"], "vegan soap for all", "primary", ["CZ", "SK"]), (2, "R", ["b", "c"], "vegan soap", "secondary", ["CZ"]),
+        (3, "R", ["a"], "vegan soap", "secondary", ["CZ", "DE"]), (4, "R", ["c"], "vegan soap", "secondary", ["CZ"]),
+        (5, "R", ["a"], "vegan soap for all", "primary", ["DE"]), (6, "R", ["a"], "vegan soap", "secondary", []),
+    ]
+    found = spark.createDataFrame(rows, "id long, rule_id string, url array<string>, text string, source string, jur array<string>")
+    out = rules.without_repeated(found, "id", jurisdictions="jur")
+    assert out.columns == found.columns and sorted(r.id for r in out.collect()) == [1, 3, 4, 5]
+    one = found.withColumn("url", F.col("url")[0])
+    assert sorted(r.id for r in rules.without_repeated(one, "id").collect()) == [1, 2, 4, 5]
