@@ -34,4 +34,6 @@ def components(links: DataFrame) -> DataFrame:
         common.dropped(links.sparkSession, old, large)
     ends = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return ends.union(roots.join(edges.select(F.col("u").alias("node")), "node", "left_anti"))
+    label = common.written(ends.union(roots.join(edges.select(F.col("u").alias("node")), "node", "left_anti")), "labels")
+    common.dropped(links.sparkSession, edges)
+    return label

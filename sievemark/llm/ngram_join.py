@@ -3,17 +3,20 @@
 A document's set is its distinct shingles. Documents of equal sets form a class, and one representative stands for all.
 Every set has a prefix under one global order (rare shingles first) such that two sets that link share a shingle of
 their prefixes. A tile is the representatives that share a prefix shingle and a size band. Everything in a tile is compared
-with one leader of the tile and of the neighbouring bands; then only representatives of other components than the main
-one of their shingle are compared further, with those that share the shingle early enough in both prefixes. A compared pair is
-first bounded from above by bit counts of its signatures; the pairs left are decided by exact intersection.
-No link between different components is lost, and a large group of near copies costs a star, not all pairs.
+with one leader of the tile and of the neighbouring bands, and again with further leaders while many pairs of different
+components would be left. The rest, representatives outside the main component of their shingle, are compared with those of
+neighbouring bands that share the shingle early enough in both prefixes; a pair comes out at about the first shingle that
+it shares only. A compared pair is first bounded from above by bit counts of its signatures; the pairs left are
+decided by exact intersection. No link between different components is lost, and a large group of near copies costs a
+few stars, not all pairs.
 
-The order of shingles comes from counts over all documents; it decides what is compared first and never what links.
+The order rests on counts over all documents: each task sends sorted blocks of shingle keys and counts by ranges of
+keys, and each range is added up by itself. Counts decide what is compared first and never what links.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are their own
-component; repeated rows get equal results, and ids are expected to tell documents apart (rows of one id but different texts get
-the component of one of them); a null id has no component of its own; only the id and text
-columns are read; an empty table gives an empty result.
+component; repeated rows get equal results, and ids are expected to tell documents apart (of an id with different texts
+the one of least digest links, and all its rows get its component); a null id has no component of its own; only the
+id and text columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +33,17 @@ from . import common
 from .components import components
 
 WORDS, PERCENT = 5, 80
-#: Most frequent shingles that are ordered last: a bound of what is broadcast; any choice gives the same links.
-HOT_SHINGLES, HOT_LEAST = 1 << 18, 6
+#: Shingles of so many documents are ordered by count, others before them by hash; any choice gives the same links.
+HOT_LEAST = 6
+#: Up to so many of them (8 bytes each) are broadcast; beyond that they reach their documents by a join.
+HOT_BROADCAST = 1 << 23
 COUNT_SHINGLES = 3 << 20  # counted at once in a task
+KEY_BITS = 48  # of a shingle's hash, to count it by
+REPEAT_BITS = 27  # log2 of the bits that tell which shingles only one document has; when full, all pass
 FILTER_BITS = 23  # log2 of the bits that pre-select documents whose arrays are needed
 KNOWN_WORDS = 200_000
+AGAIN = 4  # pairs of different components for a row of the tiles, beyond which further leaders come first
+BEFORE = 3  # earlier shared shingles by which a pair is known to have come out already
 
 
 class Shingler:
@@ -102,116 +111,233 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-class Order:
-    """The global order of shingles: those outside the frequent ones first, then by count, then by hash."""
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16 bits that keep their order (all but equal ones may tie)."""
+    return (np.log2(np.maximum(counts, 1)) * 1000 + 1).astype(np.uint64)
+
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+class Order:
+    """The global order of shingles: those of few documents first, by hash, then the others by level and hash."""
+
+    def __init__(self, packed: np.ndarray):
+        """packed: key and level of each frequent shingle, ascending."""
+        self.keys, self.levels = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
+        self.maybe = np.zeros(1 << 22, bool) if len(packed) > 1 << 16 else None
+        if self.maybe is not None:
+            self.maybe[(self.keys >> np.uint64(KEY_BITS - 22)).astype(np.int64)] = True
+
+    def level(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(own), np.int64)
+        if not len(self.keys):
+            return out
+        hot = slice(None) if self.maybe is None else self.maybe[(own >> np.uint64(42)).astype(np.int64)]
+        some = own[hot] >> np.uint64(64 - KEY_BITS)
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[hot] = np.where(self.keys[at] == some, self.levels[at], 0)
+        return out
 
     def prefix(self, own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         """The prefix of a set, and how many of the whole set aren't frequent."""
-        n = len(own) - need(len(own), percent) + 1
-        hot = self.maybe[(own >> np.uint64(42)).astype(np.int64)] if len(self.hashes) else np.zeros(len(own), bool)
-        counts = np.zeros(len(own), np.int64)
-        if hot.any():
-            some = own[hot]
-            at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
-            counts[hot] = np.where(self.hashes[at] == some, self.counts[at], 0)
-        return own[np.argsort(counts, kind="stable")[:n]], int((counts == 0).sum())
+        n, level = len(own) - need(len(own), percent) + 1, self.level(own)
+        return own[np.argsort(level, kind="stable")[:n]], int((level == 0).sum())
+
+
+BLOCKS = "part int, keys binary, odd binary"
+
+
+def key_blocks(held: list[np.ndarray], again: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, keys, odd) of the shingles of some documents: sorted keys, as steps of 32 bits where they fit; odd has
+    place, documents and counted documents of the keys for which these aren't 1 and 1. Those of again aren't counted."""
+    shift = np.uint64(64 - KEY_BITS)
+    keys = np.concatenate([*((h >> shift << np.uint64(1)) | np.uint64(1) for h in held), *(h >> shift << np.uint64(1) for h in again)])
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)])
+    docs, counted = np.diff(np.r_[first, len(keys)]), np.add.reduceat(keys & np.uint64(1), first).astype(np.int64)
+    keys = keys[first] >> np.uint64(1)
+    width = 1 << KEY_BITS
+    bounds = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * np.uint64(width // parts))
+    for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if lo < hi:
+            steps = np.diff(keys[lo:hi], prepend=np.uint64(part * (width // parts)))
+            body = steps.astype(np.uint32) if int(steps.max()) < 1 << 32 else steps
+            odd = np.flatnonzero((docs[lo:hi] != 1) | (counted[lo:hi] != 1))
+            yield part, b"48"[body.itemsize == 8 :][:1] + body.tobytes(), np.stack([odd, docs[lo:hi][odd], counted[lo:hi][odd]]).tobytes()
 
 
-def frequent(source: DataFrame, words: int, most: int = HOT_SHINGLES, least: int = HOT_LEAST) -> Order:
-    """Counts of shingles over all documents; the most frequent ones come back.
+def opened(part: int, keys: bytes, odd: bytes, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents and counted documents of a block."""
+    steps = np.frombuffer(keys, np.uint32 if keys[:1] == b"4" else np.uint64, offset=1).astype(np.uint64)
+    docs, counted = np.ones(len(steps), np.int64), np.ones(len(steps), np.int64)
+    place, docs_at, counted_at = np.frombuffer(odd, np.int64).reshape(3, -1)
+    docs[place], counted[place] = docs_at, counted_at
+    return np.cumsum(steps) + np.uint64(part * ((1 << KEY_BITS) // parts)), docs, counted
+
+
+def frequent(source: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """The frequent shingles (tables of packed keys and levels by ranges of keys), and bits by leading bits of the key
+    that tell which shingles more than one document has; both from all documents.
 
     Of the documents counted together those with the same two least hashes, mostly copies of each other, count once:
     what should be ordered last is what different texts share.
     """
-    fields = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+    spark = source.sparkSession
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, least = 1 << max(0, min(16, (2 * deal - 1).bit_length())), HOT_LEAST
+    fields = common.arrow_schema(spark, BLOCKS)
+    found = "part int, bits binary, hot binary"
+    out = common.arrow_schema(spark, found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, size, shingles = set(), [], 0, Shingler(words)
+        keys, held, again, size, shingles = set(), [], [], 0, Shingler(words)
 
-        def flush() -> pa.RecordBatch:
-            hashes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([hashes[n > 2].view(np.int64), n[n > 2].astype(np.int64)], schema=fields)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block in key_blocks(held, again, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in block], schema=fields)
 
         for batch in batches:
             for body in common.texts(batch)[1]:
                 own = shingles(body)
-                if (key := own[:2].tobytes()) in sets:
+                if not len(own):
                     continue
-                sets.add(key)
-                held.append(own)
+                key = own[:2].tobytes()
+                (again if key in keys else held).append(own)
+                keys.add(key)
                 size += len(own)
                 if size > COUNT_SHINGLES:
-                    yield flush()
-                    sets, held, size = set(), [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    keys, held, again, size = set(), [], [], 0
+        if size:
+            yield from flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blocks = None, []
+
+        def total() -> pa.RecordBatch:
+            keys, docs, counted = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, docs, counted = keys[first], np.add.reduceat(docs[order], first), np.add.reduceat(counted[order], first)
+            bits = np.zeros((1 << REPEAT_BITS) // parts, bool)
+            place = (keys[docs > 1] >> np.uint64(KEY_BITS - REPEAT_BITS)).astype(np.int64)
+            bits[place - part * len(bits)] = True
+            hot = counted >= least
+            packed = keys[hot] << np.uint64(16) | levels(counted[hot])
+            values = [[part], [np.packbits(bits, bitorder="little").tobytes()], [packed.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, out.types, strict=True)], schema=out)
+
+        for batch in batches:
+            for at, keys, odd in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != part and blocks:
+                    yield total()
+                    blocks = []
+                part = at
+                blocks.append(opened(at, keys, odd, parts))
+        if blocks:
+            yield total()
+
+    blocks = source.mapInArrow(count, BLOCKS).repartition(deal, "part").sortWithinPartitions("part")
+    counts = common.written(blocks.mapInArrow(add, found), "counts")
+    bits = np.zeros((1 << REPEAT_BITS) // 8, np.uint8)
+    rows = counts.select("part", "bits").toArrow()  # 2^REPEAT_BITS bits in all, whatever the input
+    for part, body in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        own = np.frombuffer(body, np.uint8)
+        bits[part * len(own) : (part + 1) * len(own)] = own
+    return counts, bits
+
+
+def with_levels(source: DataFrame, counts: DataFrame, bits, words: int) -> tuple[DataFrame, Order | None]:
+    """The order for broadcast, or, if there are too many frequent shingles, source with those of each row (hot)."""
+    spark = source.sparkSession
+    size = counts.agg(F.sum(F.length("hot"))).first()[0] or 0
+    if size <= 8 * HOT_BROADCAST:
+        rows = counts.filter(F.length("hot") > 0).select("part", "hot").toArrow().sort_by("part")["hot"].to_pylist()
+        return source.withColumn("hot", F.lit(None).cast("array<long>")), Order(np.frombuffer(b"".join(rows), np.uint64))
+    key = common.arrow_schema(spark, "key long, packed long")
+    held = common.arrow_schema(spark, "id long, key long")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                packed = np.frombuffer(body, np.uint64)
+                yield pa.RecordBatch.from_arrays([(packed >> np.uint64(16)).view(np.int64), packed.view(np.int64)], schema=key)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in batches:
+            for doc, body in zip(*common.texts(batch), strict=True):
+                own = shingles(body)
+                own = own[repeated(own, bits.value)] >> np.uint64(64 - KEY_BITS)
+                yield pa.RecordBatch.from_arrays([np.full(len(own), doc, np.int64), own.view(np.int64)], schema=held)
 
-    counted = source.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).toArrow()
-    return Order(rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+    rows = source.filter("id is not null").mapInArrow(explode, "id long, key long").distinct()
+    rows = rows.join(counts.select("hot").mapInArrow(unpack, "key long, packed long"), "key")
+    return source.join(rows.groupBy("id").agg(F.collect_list("packed").alias("hot")), "id", "left"), None
 
 
-SETS = "id long, n long, class binary, cold long, prefix binary, bits binary"
+def repeated(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which shingles more than one document may have."""
+    at = (own >> np.uint64(64 - REPEAT_BITS)).astype(np.int64)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+SETS = "id long, n long, class binary, cold long, prefix binary, at binary, bits binary"
 
 
 def sets(source: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row of id_and_text(): the size of its set, its class, and what candidates are found by."""
-    order = source.sparkSession.sparkContext.broadcast(frequent(source, words))
-    fields = common.arrow_schema(source.sparkSession, SETS)
+    """Per row of id_and_text(): the size of its set, its class, and what candidates are found by: the shingles of its
+    prefix that other documents may have, and their places in the whole set's order."""
+    spark = source.sparkSession
+    counts, bits = frequent(source, words)
+    bits = spark.sparkContext.broadcast(bits)
+    source, order = with_levels(source, counts, bits, words)
+    order = spark.sparkContext.broadcast(order)
+    fields = common.arrow_schema(spark, SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            ids, bodies = common.texts(batch)
             out = []
-            for doc, body in zip(ids, bodies, strict=True):
+            for doc, body, hot in zip(*common.texts(batch), batch.column(2), strict=True):
                 own = shingles(body)
-                if len(own):
-                    prefix, cold = order.value.prefix(own, percent)
-                    out.append((doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), cold, prefix.tobytes(), signature(own)))
-                else:
-                    out.append((doc, 0, None, 0, None, None))
-            yield pa.RecordBatch.from_pydict(dict(zip(fields.names, zip(*out, strict=True), strict=True)), schema=fields)
+                if not len(own):
+                    out.append((doc, 0, None, 0, None, None, None))
+                    continue
+                rank = order.value or Order(np.sort(np.array(hot.as_py() or [], np.int64).view(np.uint64)))
+                prefix, cold = rank.prefix(own, percent)
+                at = np.flatnonzero(repeated(prefix, bits.value)).astype(np.int32)
+                out.append((doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), cold, prefix[at].tobytes(), at.tobytes(), signature(own)))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(fields.names, zip(*out, strict=True), strict=True)), schema=fields)
 
-    return source.mapInArrow(run, SETS)
+    found = common.written(source.select("id", "text", "hot").mapInArrow(run, SETS), "sets")
+    common.dropped(spark, counts)
+    return found
 
 
-def shared_shingles(classes: DataFrame) -> DataFrame:
-    """(token, n, at, cold, rep) of prefix shingles that more than one class has; at is the place in the prefix."""
-    spark = classes.sparkSession
-    schema = "token long, n int, at int, cold int, rep long"
-    fields = common.arrow_schema(spark, schema)
+def prefix_shingles(classes: DataFrame) -> DataFrame:
+    """(token, n, at, cold, rep, before) of prefix shingles; at is the place in the set's order, before the prefix shingles
+    just before it."""
+    schema = "token long, n int, at int, cold int, rep long, before array<long>"
+    fields = common.arrow_schema(classes.sparkSession, schema)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, n, cold = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             prefix = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            at = [np.frombuffer(x, np.int32) for x in batch.column(4).to_pylist()]
             times = [len(x) for x in prefix]
-            if prefix:
-                yield pa.RecordBatch.from_arrays([np.concatenate(prefix), np.repeat(n, times).astype(np.int32), np.concatenate([np.arange(k, dtype=np.int32) for k in times]), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times)], schema=fields)
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, again = None, False  # the row before, and whether the one before it has its token
-        for batch in batches:
-            if not batch.num_rows:
+            if not sum(times):
                 continue
-            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            token = whole.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.r_[again, same] | np.r_[same, False]
-            last, again = whole.slice(len(token) - 1), bool(keep[-1])
-            yield whole.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
-        if last is not None and again:
-            yield last
+            tokens = np.concatenate(prefix)
+            place = np.concatenate([np.arange(k) for k in times])
+            ends = np.cumsum(np.minimum(place, BEFORE))
+            starts = ends - np.minimum(place, BEFORE)
+            pick = np.arange(ends[-1]) - np.repeat(starts - np.arange(len(tokens)) + np.minimum(place, BEFORE), ends - starts)
+            before = pa.ListArray.from_arrays(np.r_[starts, ends[-1]].astype(np.int32), pa.array(tokens[pick]))
+            yield pa.RecordBatch.from_arrays([tokens, np.repeat(n, times).astype(np.int32), np.concatenate(at), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times), before.cast(fields.field("before").type)], schema=fields)
 
-    rows = classes.select("rep", "n", "cold", "prefix").mapInArrow(explode, schema)
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(several, schema)
+    return classes.select("rep", "n", "cold", "prefix", "at").mapInArrow(explode, schema)
 
 
 def size_band(n, percent: int):
@@ -242,7 +368,7 @@ def decided(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int,
     image = np.zeros(1 << FILTER_BITS - 6, np.int64)
     image[rows["w"].to_numpy()] = rows["v"].to_numpy()
     held = spark.sparkContext.broadcast(np.unpackbits(image.view(np.uint8), bitorder="little").view(bool))
-    arrays = "rep long, own binary"
+    arrays = "rep long, class binary, own binary"
     out = common.arrow_schema(spark, arrays)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +376,12 @@ def decided(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int,
         for batch in batches:
             keep = held.value[batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)]
             docs, bodies = common.texts(batch.filter(pa.array(keep)))
-            yield pa.RecordBatch.from_pydict({"rep": docs, "own": [shingles(x).tobytes() for x in bodies]}, schema=out)
+            own = [shingles(x).tobytes() for x in bodies]
+            yield pa.RecordBatch.from_pydict({"rep": docs, "class": [xxhash.xxh3_128_digest(x) for x in own], "own": own}, schema=out)
 
     with_place = source.filter("id is not null").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
-    own = with_place.mapInArrow(needed, arrays).join(ids, "rep").groupBy("rep").agg(F.first("own").alias("own"))
-    own = common.written(own, "arrays")
+    own = with_place.mapInArrow(needed, arrays).join(classes.select("rep", "class"), ["rep", "class"]).join(ids, "rep", "left_semi")
+    own = common.written(own.groupBy("rep").agg(F.first("own").alias("own")), "arrays")  # equal for all rows of rep
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,50 +396,76 @@ def decided(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int,
     return links
 
 
+def stars(tiles: DataFrame, among: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader (fewest shingles of its own) of each shingle and band of `among` and all of tiles that
+    have the shingle, in the same or a neighbouring band."""
+    leaders = among.groupBy("token", "band").agg(F.min(F.struct("cold", "rep", "n", "at", "component")).alias("x"))
+    nearby = leaders.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "x")
+    both = tiles.join(nearby, ["token", "band"]).filter("rep != x.rep and component != x.component")
+    both = both.filter(early("x.n", "x.at", percent))
+    return both.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct()
+
+
+def early(n: str, at: str, percent: int) -> str:
+    """Whether enough is left of both sets from the shingle on: so it is where two sets that link first share one."""
+    return f"{100 + percent} * least(n - at, {n} - {at}) >= {percent} * (n + {n})"
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, and component_id, the least id that links lead to."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
     source = common.id_and_text(df, id_col, text_col)
-    found = common.written(sets(source, words, percent), "sets")
+    found = sets(source, words, percent)
     members = common.written(found.select("id", "n", "class"), "members")
-    found = found.filter("class is not null and id is not null")
-    same = [F.first(c).alias(c) for c in ("n", "cold", "prefix", "bits")]  # equal in all of a class
-    classes = common.written(found.groupBy("class").agg(F.min("id").alias("rep"), *same), "classes")
+    named = members.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"))
+    named = common.written(named, "reps")
+    reps = named.groupBy("rep").agg(F.min("class").alias("class"))
+    same = [F.first(c).alias(c) for c in ("n", "cold", "prefix", "at", "bits")]  # equal in all of a class
+    classes = common.written(found.join(reps, "class").groupBy("class", "rep").agg(*same), "classes")
     common.dropped(spark, found)
-    shared = common.written(shared_shingles(classes), "shared")
-
-    tiles = shared.withColumn("band", size_band(F.col("n"), percent))
-    leaders = tiles.groupBy("token", "band").agg(F.min(F.struct("cold", "rep")).alias("first"))
-    leaders = leaders.select("token", "band", F.col("first.rep").alias("leader"))
-    nearby = leaders.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("leader").alias("a"))
-    stars = tiles.join(nearby, ["token", "band"]).select("a", F.col("rep").alias("b"))
-    both = stars.filter("a != b")
-    first = common.written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = decided(first, classes, source, words, percent)
-    label = components(links)
+    tiles = prefix_shingles(classes).withColumn("band", size_band(F.col("n"), percent))
+    tiles = common.written(tiles, "tiles")
+
+    alone = tiles.withColumn("component", F.col("rep"))
+    tried = common.written(stars(alone, alone, percent), "pairs")
+    links = decided(tried, classes, source, words, percent)
+    while True:
+        label = components(links)
+        where = tiles.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        where = where.withColumn("component", F.coalesce("component", "rep"))
+        apart = where.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
+        where = common.written(where.join(apart, "token"), "apart")
+        main = where.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+        outside = where.join(main, "token").filter("component != main").select(*where.columns)
+        left, rows = main.agg(F.sum(F.expr("double(all - most) * all")), F.sum("all")).first()
+        if not left or left <= AGAIN * rows:
+            break
+        # Many pairs are left: stars of further leaders join large groups of near copies before pairs are formed.
+        more = stars(where, outside, percent).join(tried, ["a", "b"], "left_anti")
+        more = common.written(more, "pairs")
+        new = decided(more, classes, source, words, percent)
+        tried, links = tried.union(more), links.union(new)
+        if new.isEmpty():
+            break
+        common.dropped(spark, where, label)
 
     # What is still apart and shares a shingle: everything outside the shingle's main component, against all.
-    where = shared.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    where = where.withColumn("component", F.coalesce("component", "rep"))
-    apart = where.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
-    where = common.written(where.join(apart, "token"), "apart")
-    main = where.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = where.join(main, "token").filter("component != main").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    # A pair that links has its first common shingle where enough is left of both sets.
-    cross = outside.join(where, "token").filter(
-        f"component != cx and {100 + percent} * least(n - at, nx - ax) >= {percent} * (n + nx)"
+    x = outside.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.struct("rep", "n", "at", "component", "before").alias("x"))
+    cross = x.join(where, ["token", "band"]).filter(
+        f"component != x.component and {early('x.n', 'x.at', percent)} and not arrays_overlap(before, x.before)"
     )
-    second = cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    second = common.written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = cross.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct()
+    second = common.written(second.join(tried, ["a", "b"], "left_anti"), "pairs")
+    common.dropped(spark, where, tiles)
     more = decided(second, classes, source, words, percent)
     label = components(links.union(more))
 
-    named = classes.select("class", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))
     back = members.join(named, "class", "left")
     out = back.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    common.dropped(spark, shared, first, second, where)
+    common.dropped(spark, classes, tried, second, links, more)
     return out
 
 
