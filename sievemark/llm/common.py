@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch that goes to a Python worker, so that very long texts can't add up.
 BATCH_BYTES = 4 << 20
+LOCAL: dict[str, str] = {}  # folder by application in local mode
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) one of this machine's own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sievemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or (unset, in local mode) one of this machine's own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in LOCAL:
+        LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="sievemark-")
+    return LOCAL[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -73,11 +79,8 @@ def map_texts(df: DataFrame, rows: Callable[[list, list[bytes]], dict[str, list]
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
 
 def fold_of(doc_id, folds: int):
@@ -85,10 +88,11 @@ def fold_of(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class, extra: str | None = None) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_class, extra: str | None = None, most_chars: int | None = None) -> DataFrame:
     """(id, text, y, lang) of at most per_class (one bound, or one for each of 0 and 1) labelled documents of each class.
 
-    Those of lowest hashed id are taken.
+    Those of lowest hashed id are taken; of an id that documents has repeatedly, the least text. Texts of over most_chars
+    characters aren't learned from.
     `learn` is a condition on labels.doc_id. The ids are bounded by 2 * per_class, so they are broadcast; texts stay
     in Spark. A document with several labels counts with the highest. `extra` names the column that becomes lang.
     """
@@ -98,4 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_cla
     some = [held.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bounds[y]) for y in (0, 1)]
     lang = docs[extra].cast("string") if extra else F.lit(None).cast("string")
     body = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang"))
-    return body.join(F.broadcast(some[0].union(some[1])), "id").select("id", "text", "y", "lang")
+    if most_chars is not None:
+        body = body.filter(F.length("text") <= most_chars)
+    rows = body.join(F.broadcast(some[0].union(some[1])), "id")
+    return rows.groupBy("id").agg(F.min(F.struct("text", "y", "lang")).alias("r")).select("id", "r.text", "r.y", "r.lang")

@@ -2,16 +2,17 @@
 
 A word's vector is the sum of the vectors of its hash and of the hashes of its prefixes (of inflected forms the stem
 counts). Filters of several widths run over the whole text; each keeps its largest response, and a logistic
-layer weighs them. It is trained here, on at most `PER_CLASS` labelled documents of each class (the bound of what
-comes to the driver). Hashes seen in fewer than `LEAST` training documents have no vector. Since there are finitely many words in a
+layer weighs them. It is trained here, on at most `PER_CLASS` labelled documents of each class and of at most
+`LEARN_CHARS` characters (the bounds of what comes to the driver). Hashes seen in fewer than `LEAST` training documents have
+no vector. Since there are finitely many words in a
 batch, a filter's response is a sum of one looked-up value per word and position, without per-position products.
 
 The score never sees the language. For each language of the training sample a threshold is calibrated that makes F1
-largest there; `flagged` compares with it, and with `THRESHOLD` for other languages.
+largest on rows that the network wasn't fitted on; `flagged` compares with it, and with `THRESHOLD` for other languages.
 
 Defined results: a null text is empty; an empty text has a score (of padding); null languages use the common
-threshold; without both classes every score is the share of class 1 (0 without labels); repeated rows get equal
-scores; only the named columns are read; an empty table gives an empty result.
+threshold; without both classes every score is the share of class 1 (0 without labels); a score depends on the text
+alone, to the last bit, so repeated rows get equal scores; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from . import common
 
 #: Training documents at most: not toxic, toxic.
 PER_CLASS = (5_000, 2_500)
+LEARN_CHARS = 20_000
+#: One in so many of them is kept for the thresholds.
+CALIBRATE = 5
 SIZE, WIDTHS, FILTERS, PREFIXES = 8, (1, 2, 3), 8, (3, 4, 5)
 BUCKETS, LEAST, SHRINK, BATCH, RATE = 1 << 18, 5, 15, 64, 0.015
 #: Steps of training at least, passes at least, and the share of word vectors left out of a step.
 STEPS, EPOCHS, DROPPED = 300, 6, 0.4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
+#: Places that a filter reads beyond its own; so many places after a text count for it, and as many more are only read.
 PAD = max(WIDTHS) - 1
 #: A-Z become lower case; what isn't a letter, a digit or a byte over 127 separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -47,11 +52,12 @@ def buckets(word: bytes) -> list[int]:
 
 
 def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of each distinct word; words of all texts with padding after each as numbers, 0 is padding; starts)."""
+    """(buckets of each distinct word; words of all texts with padding after each as numbers, 0 is padding; where the
+    places of each text begin and end, alternating)."""
     split = [b.translate(FOLD).split() for b in bodies]
     distinct = list({w for words in split for w in words})
     number = dict(zip(distinct, range(1, len(distinct) + 1), strict=True))
-    lengths = np.array([len(w) + PAD for w in split], np.int64)
+    lengths = np.array([len(w) + 2 * PAD for w in split], np.int64)
     starts = np.cumsum(lengths) - lengths
     flat = np.zeros(int(lengths.sum()) + PAD, np.int64)
     for s, words in zip(starts.tolist(), split, strict=True):
@@ -59,7 +65,15 @@ def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = np.zeros((len(distinct) + 1, 1 + len(PREFIXES)), np.int64)
     if distinct:
         table[1:] = [buckets(w) for w in distinct]
-    return table, flat, starts
+    return table, flat, np.stack([starts, starts + lengths - PAD], 1).ravel()
+
+
+def product(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """rows @ weights, added up in the same order for every row, however many there are."""
+    out = rows[:, :1] * weights[0]
+    for i in range(1, len(weights)):
+        out += rows[:, i : i + 1] * weights[i]
+    return out
 
 
 class Network:
@@ -77,19 +91,22 @@ class Network:
         """Of each width, the filters' responses at every position."""
         n, out = len(flat) - PAD, []
         for w, kernel, bias in zip(WIDTHS, self.filters, self.bias, strict=True):
-            total = (words @ kernel[0])[flat[:n]] + bias
+            total = product(words, kernel[0])[flat[:n]] + bias
             for j in range(1, w):
-                total += (words @ kernel[j])[flat[j : n + j]]
+                total += product(words, kernel[j])[flat[j : n + j]]
             out.append(total)
         return out
 
     def scores(self, bodies: list[bytes]) -> np.ndarray:
         if not self.filters:
             return np.full(len(bodies), self.base)
-        table, flat, starts = numbered(bodies)
-        words = self.vectors[self.rows[table]].sum(1)
-        pooled = [np.maximum.reduceat(np.maximum(r, 0), starts) for r in self.responses(words, flat)]
-        z = np.concatenate(pooled, 1) @ self.dense + self.offset
+        table, flat, places = numbered(bodies)
+        vectors = self.vectors[self.rows[table]]
+        words = vectors[:, 0].copy()
+        for i in range(1, vectors.shape[1]):
+            words += vectors[:, i]
+        pooled = [np.maximum.reduceat(np.maximum(r, 0), places)[::2] for r in self.responses(words, flat)]
+        z = product(np.concatenate(pooled, 1), self.dense[:, None])[:, 0] + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def sequence_scores(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -148,8 +165,11 @@ class Network:
 
     def gradients(self, documents: list[np.ndarray], y: np.ndarray, left_out: np.ndarray | None = None) -> list[np.ndarray]:
         """Of the mean logistic loss plus a small weight decay; a filter passes back to its largest response only."""
-        lengths = np.array([len(d) + PAD for d in documents])
+        lengths = np.array([len(d) + 2 * PAD for d in documents])
         starts = np.cumsum(lengths) - lengths
+        places = np.stack([starts, starts + lengths - PAD], 1).ravel()
+        inside = np.ones(int(lengths.sum()), bool)
+        inside[(starts + lengths)[:, None] - 1 - np.arange(PAD)] = False
         body = np.zeros((int(lengths.sum()) + PAD, 1 + len(PREFIXES)), np.int64)
         for s, d in zip(starts, documents, strict=True):
             body[s : s + len(d)] = d
@@ -161,11 +181,11 @@ class Network:
         pooled, best = [], []
         for w, kernel, bias in zip(WIDTHS, self.filters, self.bias, strict=True):
             r = sum(x[j : n + j] @ kernel[j] for j in range(w)) + bias
-            top = np.maximum.reduceat(r, starts)
+            top = np.maximum.reduceat(r, places)[::2]
             whose = np.repeat(np.arange(len(documents)), lengths)
             at = np.empty(top.shape, np.int64)
             for f in range(FILTERS):
-                hit = np.flatnonzero(r[:, f] == top[whose, f])
+                hit = np.flatnonzero((r[:, f] == top[whose, f]) & inside)
                 at[whose[hit[::-1]], f] = hit[::-1]  # the first one stays
             pooled.append(top)
             best.append(at)
@@ -209,7 +229,7 @@ class Network:
 
 def trained(docs: DataFrame, labels: DataFrame, lang_col: str | None = "lang", per_class: tuple[int, int] = PER_CLASS) -> Network:
     learn = common.fold_of(F.col("doc_id"), FOLDS) != HELD_OUT
-    rows = common.training_rows(docs, labels, "toxic", learn, per_class, lang_col)
+    rows = common.training_rows(docs, labels, "toxic", learn, per_class, lang_col, LEARN_CHARS)
     schema = "id long, y int, words binary, lang string"
     fields = common.arrow_schema(docs.sparkSession, schema)
 
@@ -229,9 +249,13 @@ def trained(docs: DataFrame, labels: DataFrame, lang_col: str | None = "lang", p
         return network
     shape = (-1, 1 + len(PREFIXES))
     documents = [np.frombuffer(r.words, np.int32).reshape(shape) for r in found]
-    network.fit(documents, y)
-    if lang_col:
-        network.calibrate(network.sequence_scores(documents), y, [r.lang for r in found])
+    apart = np.array([r.id % CALIBRATE == 0 for r in found]) if lang_col else np.zeros(len(y), bool)
+    if len(set(y[~apart])) < 2:
+        apart[:] = False
+    network.fit([d for d, x in zip(documents, apart, strict=True) if not x], y[~apart])
+    if apart.any():
+        held = [d for d, x in zip(documents, apart, strict=True) if x]
+        network.calibrate(network.sequence_scores(held), y[apart], [r.lang for r, x in zip(found, apart, strict=True) if x])
     return network
 
 
@@ -244,7 +268,7 @@ def score_documents(
     source = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"), lang.alias("lang"))
     schema = "id long, score double, flagged boolean"
     fields = common.arrow_schema(df.sparkSession, schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,6 +48,18 @@ def test_held_out_accuracy(spark):
     assert (got == truth).mean() > 0.97 and got[truth == 1].mean() > 0.85 and truth[got == 1].mean() > 0.9
 
 
+def test_scores_depend_on_the_text_alone(spark):
+    """To the last bit, whatever stands beside a text."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    net = toxicity.trained(docs, common.table(spark, "/root/testdata/sf0.001", "labels"))
+    bodies = [(r.text or "").encode() for r in docs.collect()] + [b"", b"hello", b"one two"]
+    alone = np.array([net.scores([b])[0] for b in bodies])
+    assert (net.scores(bodies) == alone).all() and (net.scores(bodies[::-1])[::-1] == alone).all()
+    order = np.random.default_rng(0).permutation(len(bodies))
+    for some in np.array_split(order, 9):
+        assert (net.scores([bodies[i] for i in some]) == alone[some]).all()
+
+
 def test_batches_agree_and_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score int"
     rows = [(1, None, "en", 1), (2, "", None, 1), (2, "", None, 1), (3, "you idiot fool", "en", 1), (4, "kind words here", "en", 1), (5, "idiot " * 50_000, "xx", 1), (6, "fine day", "en", 0), (7, "idiot fine", "en", 0), (8, "an idiot day", "en", 0), (9, "words day", "en", 0)]
@@ -56,6 +68,6 @@ def test_batches_agree_and_odd_rows(spark):
     net = toxicity.trained(df, labels)
     got = {r.id: r.score for r in toxicity.score_documents(df, net).collect()}
     for i, t, _, _ in rows:
-        assert np.isclose(got[i], net.scores([(t or "").encode()])[0], atol=1e-4)
+        assert got[i] == net.scores([(t or "").encode()])[0]
     assert toxicity.score_documents(df.limit(0), net).count() == 0
     assert toxicity.trained(df, labels.limit(0)).scores([b"x"]).tolist() == [0.0]
