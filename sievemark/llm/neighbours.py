@@ -1,20 +1,22 @@
 """Approximate nearest neighbours by additive quantisation.
 
-Codebooks of full dimension are learned on residuals and refitted together; a beam search encodes every vector as one
-word of each codebook. A query's inner products with all words make its lookup table; a candidate's approximate
-score is a sum of looked-up values, corrected by its stored norm. The best `RERANK` of every block of candidates are
-scored exactly, and the best of all blocks win.
+Codebooks of full dimension are learned on residuals and refitted together; a beam search encodes every vector's
+direction as one word of each codebook. A query's inner products with all words make its lookup table; a candidate's
+approximate score is a sum of looked-up values times its stored norm (over that of its decoded direction, so the length
+is right). The best `RERANK` of every block of candidates are scored exactly, in double precision on the original vectors,
+and the best of all blocks win.
 
 The index is learned on at most `SAMPLE` vectors (lowest hashed ids) and holds every usable vector. Queries are taken
 in blocks of a bounded number against all rows. Candidates are blocks of a bounded number in tasks.
 
-Defined results: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
-components take no part; rows of one id are never each other's neighbours, and one of them asks; ties go to the smaller
-id; without candidates there are no rows; only the named columns are read.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
+lengths have no inner product, so each length is searched by itself; rows of one id are never each other's neighbours, and one
+of them asks; ties go to the smaller id; without candidates there are no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,14 +101,25 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    vector = df[vector_col].cast("array<float>")
+    vector = df[vector_col]
+    if df.schema[vector_col].dataType.simpleString() != "array<float>":
+        vector = vector.cast("array<double>")
     some = df.select(df[id_col].cast("long").alias("vec_id"), vector.alias("v")).filter("vec_id is not null")
-    finite = "size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))"
+    finite = "size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return some.filter(f"v is not null and {finite} and exists(v, x -> x != 0)")
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, size)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (float32) and norms (double), whatever the size of the components."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(1, keepdims=True)
+    x = x / most
+    norms = np.sqrt((x**2).sum(1, keepdims=True))
+    return (x / norms).astype(np.float32), (most * norms)[:, 0]
 
 
 def search(
@@ -116,30 +129,37 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
+    rows = usable(df, id_col, vector_col)
+    asking = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.count_if(asking).alias("asked")).collect()
+    found = [_search(rows.filter(F.size("v") == r.size), r.size, r.n, r.asked, asking, k, rerank) for r in sizes if r.asked]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = functools.reduce(DataFrame.union, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, size: int, total: int, n_asked: int, asking, k: int, rerank: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest found in each block, among vectors of one length."""
+    spark = rows.sparkSession
     schema = "query_id long, vec_id long, score double"
     fields = common.arrow_schema(spark, schema)
-    rows = usable(df, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = np.array([len(x) for x in sample["v"].to_pylist()])
-    size = int(np.bincount(sizes).argmax())
-    learn = np.array([x for x in sample["v"].to_pylist() if len(x) == size], np.float32)
-    books = spark.sparkContext.broadcast(Codebooks(learn))
-    rows = rows.filter(F.size("v") == size)
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    total, n_asked = rows.count(), asked.count()
-    index_schema = "vec_id long, v array<float>, codes binary, norm float"
+    books = spark.sparkContext.broadcast(Codebooks(directions(matrix(sample["v"].combine_chunks(), size))[0]))
+    asked = rows.filter(asking)
+    index_schema = f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, codes binary, norm double"
     index_fields = common.arrow_schema(spark, index_schema)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(1), size)
+                x, norms = directions(matrix(batch.column(1), size))
                 codes = books.value.encode(x)
                 back = books.value.decode(codes)
-                norms = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(back, axis=1), 1e-20)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)]), pa.array(norms.astype(np.float32))], schema=index_fields)
+                norms = norms / np.maximum(np.linalg.norm(back, axis=1), 1e-20)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)]), pa.array(norms)], schema=index_fields)
 
     index = rows.mapInArrow(encoded, index_schema).repartition(int(total // BLOCK) + 1, F.xxhash64("vec_id"))
     index = common.written(index, "index")
@@ -153,11 +173,7 @@ def search(
         held = spark.sparkContext.broadcast((some["vec_id"].to_numpy(), queries))
         part = index.mapInArrow(_block_search(held, books, size, k, rerank, fields), schema)
         found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def _block_search(held, books, size: int, k: int, rerank: int, fields: pa.Schema):
@@ -166,14 +182,15 @@ def _block_search(held, books, size: int, k: int, rerank: int, fields: pa.Schema
         ids, x, codes, norms = ids[order], x[order].astype(np.float64), codes[order], norms[order]
         words = books.value.books
         asked, queries = held.value
+        units = directions(queries)[0]
         for at in range(0, len(asked), CHUNK):
-            own, q = asked[at : at + CHUNK], queries[at : at + CHUNK]
+            own, q = asked[at : at + CHUNK], units[at : at + CHUNK]
             scores = np.zeros((len(q), len(ids)), np.float32)
             for m, book in enumerate(words):
                 scores += (q @ book.T)[:, codes[:, m]]
-            scores *= norms
+            scores = scores * norms
             out_q, out_v, out_s = [], [], []
-            for query, vector, row in zip(own.tolist(), q.astype(np.float64), scores, strict=True):
+            for query, vector, row in zip(own.tolist(), queries[at : at + CHUNK].astype(np.float64), scores, strict=True):
                 row[np.searchsorted(ids, query) : np.searchsorted(ids, query, "right")] = -np.inf
                 near = best_rows(row, rerank)
                 near = near[ids[near] != query]
