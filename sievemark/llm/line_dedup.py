@@ -2,12 +2,12 @@
 
 HyperLogLog sketches of the sites of every line are merged by aggregation. A line whose estimate is far from the
 threshold is decided by it; lines near it get an exact distinct count. A line found on at least `min_sites` sites is
-boilerplate and goes from every document, whatever share of it such lines hold - unless they hold more than `max_share`
-of the document's characters and its whole text stands in a document of another id: that document is proven a copy, and
-stays whole for near-duplicate removal.
+boilerplate and goes from every document, whatever share of it such lines hold. Only where `max_share` is given, a
+document in which they hold more than that share of the characters stays whole if its whole text stands in a document of
+another id: it is proven a copy, and near-duplicate removal takes it (`copy` marks such documents).
 
 A line is what stands between line breaks, without spaces, tabs and carriage returns around it; lines under `min_chars`
-characters are never boilerplate. Defined results: a null text is empty, and an empty one has one empty line;
+characters (empty ones, by default) are never boilerplate. Defined results: a null text is empty, and an empty one has one empty line;
 a null site counts as none; repeated rows get equal results; only the named columns are read; an empty
 table gives an empty result. Texts are taken whole.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_SITES, MIN_CHARS, MAX_SHARE = 10, 12, 0.5
+MIN_SITES, MIN_CHARS = 10, 1
 #: log2 of a sketch's registers (standard error 1.6 %), and how far from the threshold an estimate decides alone.
 REGISTERS, MARGIN = 12, 0.2
 EDGES = " \t\r"
@@ -47,7 +47,7 @@ def dedup(
     site_col: str = "source",
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = None,
     carry: bool = False,
 ) -> DataFrame:
     """id, text without boilerplate lines, n_lines, n_removed and copy (whether it was left whole as a copy).
@@ -70,18 +70,21 @@ def dedup(
     )
     found = boilerplate(lines, min_sites)
     own = lines.select("id", "key", "h1", "h2").join(found, ["h1", "h2"])
-    own = common.written(own.groupBy("id", "key").agg(F.collect_set("h1").alias("removed")), "own")
+    own = common.written(own.groupBy("id", "key").agg(F.collect_set(F.struct("h1", "h2")).alias("removed")), "own")
     # the copies of a text with found lines have those lines too, so all of them are in own
-    twice = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
-    own = own.join(twice.select("key", F.lit(True).alias("twice")), "key", "left")
+    if max_share is None:
+        own = own.withColumn("twice", F.lit(False))
+    else:
+        twice = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
+        own = own.join(twice.select("key", F.lit(True).alias("twice")), "key", "left")
     joined = docs.withColumn("key", F.xxhash64("text")).join(own, ["id", "key"], "left")
     parts = F.split("text", "\n")
     is_removed = lambda x: F.coalesce(
-        (F.length(trimmed(x)) >= min_chars) & F.array_contains("removed", F.xxhash64(trimmed(x))), F.lit(False)
+        (F.length(trimmed(x)) >= min_chars) & F.array_contains("removed", F.struct(F.xxhash64(trimmed(x)).alias("h1"), F.xxhash64(F.lit(1), trimmed(x)).alias("h2"))), F.lit(False)
     )
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(trimmed(x)))
     kept = F.when(F.col("removed").isNull(), parts).otherwise(F.filter(parts, lambda x: ~is_removed(x)))
-    copy = F.col("twice") & (chars(parts) - chars(kept) > max_share * chars(parts))
+    copy = F.col("twice") & (chars(parts) - chars(kept) > (max_share or 0) * chars(parts))
     more = ["row"] if carry else []
     out = joined.select(*more, "id", "text", parts.alias("all"), kept.alias("kept"), F.coalesce(copy, F.lit(False)).alias("copy"))
     return out.select(
@@ -99,7 +102,7 @@ def dedup(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents"))
     return out.select(
-        F.col("id").alias("doc_id"), "n_lines", "n_removed", "copy", F.sha2("text", 256).alias("clean_sha256")
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256")
     )
 
 
@@ -112,9 +115,6 @@ wide as (select line from keyed where length(line) >= {MIN_CHARS} group by line
   having count(distinct source) >= {MIN_SITES}),
 marked as (select keyed.*, wide.line is not null as gone from keyed left join wide on keyed.line = wide.line),
 sums as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_gone,
-  coalesce(sum(length(line)) filter (gone), 0) > {MAX_SHARE} * sum(length(line)) as copy,
   string_agg(raw, chr(10) order by i) filter (not gone) as rest from marked group by doc_id)
-select doc_id, n_lines, case when copy then 0 else n_gone end as n_removed, copy,
-  sha256(case when copy then text else coalesce(rest, '') end) as clean_sha256
-from sums join docs using (doc_id)
+select doc_id, n_lines, n_gone as n_removed, sha256(coalesce(rest, '')) as clean_sha256 from sums
 """
