@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -48,17 +49,20 @@ class Phrases:
                 found.setdefault(tuple(words[at : at + window]), set()).add(item)
         self.windows = list(found)
         self.items = [sorted(x) for x in found.values()]
+        self.known: set | None = None  # made where texts are cut
         self.shortest = min(map(len, self.windows), default=window)
         self.longest = max(map(len, self.windows), default=0)
         self.matrix = np.zeros((len(self.windows), self.longest), np.int32)
         for row, w in zip(self.matrix, self.windows, strict=True):
             row[len(row) - len(w) :] = w  # searched from the right
 
-    def holds(self, text: bytes) -> bool:
-        """Whether any window occurs in one short text."""
+    def spans(self, text: bytes) -> list[tuple[int, int]]:
+        """Merged spans of words inside occurrences of windows in one text."""
+        if self.known is None:
+            self.known, self.lengths = set(self.windows), {len(w) for w in self.windows}
         own = [self.numbers.get(w, 0) for w in text.translate(FOLD).split()]
-        known, lengths = set(self.windows), {len(w) for w in self.windows}
-        return any(tuple(own[i : i + n]) in known for n in lengths for i in range(len(own) - n + 1))
+        known = self.known
+        return merged([(i, i + n) for n in self.lengths for i in range(len(own) - n + 1) if own[i] and tuple(own[i : i + n]) in known], ())
 
 
 class Bits:
@@ -258,17 +262,17 @@ def find(
     block_bytes: int = BLOCK_BYTES,
     with_text: bool = True,
     carry: tuple[str, ...] = (),
-    last: str | None = None,
+    last: StructType | None = None,
     finish=None,
 ) -> DataFrame:
     """Per document: id, text (or null), n_words, merged spans of hit words, and the items found.
 
-    `carry` names further columns of docs, which come last. `finish(handles)` makes a function that turns batches of
+    `carry` names further columns of docs, which come last as one struct, `row`. `finish(handles)` makes a function that turns batches of
     these columns into ones of the schema `last`; it runs within the last pass, so that no second worker holds the texts.
     """
-    more = [docs[c] for c in carry]
+    more = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
     found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)
-    first, schema = True, FOUND + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    first, schema = True, carrying(FOUND, docs, carry)
     some = blocks(items, item_col, item_text_col, block_bytes)
     fields = common.arrow_schema(docs.sparkSession, schema)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
@@ -285,6 +289,12 @@ def find(
     return found
 
 
+def carrying(schema: str, docs: DataFrame, carry: tuple[str, ...]) -> StructType:
+    """schema, and a struct `row` of the columns carried, whatever their names."""
+    out = StructType.fromDDL(schema)
+    return out.add("row", StructType([docs.schema[c] for c in carry])) if carry else out
+
+
 def _pass(phrases, fields: pa.Schema, keep: bool, first: bool, finish=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, carried = Shard(phrases.value), [], []
@@ -350,12 +360,12 @@ def removed(
 ) -> DataFrame:
     """id and text of the documents, hit words cut out of their texts; `contaminated` marks those that lost words.
 
-    `carry` names further columns that go along.
+    `carry` names further columns that go along, as one struct `row`.
 
-    A cut leaves a line break. Where what stands around it would be hit again, the whole remaining text goes.
+    A cut leaves a line break. Where what stands around it is hit again, those words are cut too, until nothing is hit; no
+    other words go.
     """
-    schema = "id long, text string, contaminated boolean"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = carrying("id long, text string, contaminated boolean", docs, carry)
     fields = common.arrow_schema(docs.sparkSession, schema)
 
     def cutter(handles: list):
@@ -363,8 +373,11 @@ def removed(
             spans = batch.column(3).to_pylist()
             out = []
             for text, own in zip(common.texts(batch)[1], spans, strict=True):
-                rest = without(text, [(x["start"], x["end"]) for x in own])
-                out.append(b"" if own and any(h.value.holds(rest) for h in handles) else rest)
+                at = [(x["start"], x["end"]) for x in own]
+                while at:
+                    text = without(text, at)
+                    at = merged([s for h in handles for s in h.value.spans(text)], ())
+                out.append(text)
             own = [batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), [bool(s) for s in spans]]
             own += batch.columns[5:]
             return pa.RecordBatch.from_pydict(dict(zip(fields.names, own, strict=True)), schema=fields)

@@ -83,11 +83,38 @@ def test_shards_end_anywhere(spark, monkeypatch):
 
     docs, items = fixture()
     monkeypatch.setattr(dec, "SHARD_DOCS", 7)
-    fields = common.arrow_schema(spark, dec.FOUND + ", tag string")
+    fields = common.arrow_schema(spark, dec.FOUND + ", row string")
     rows = [(i, t or "", f"tag {i}") for i, t in docs]
     batches = [pa.RecordBatch.from_pydict(dict(zip(("id", "text", "tag"), zip(*rows[a : a + 10], strict=True), strict=True))) for a in range(0, len(rows), 10)]
     held = types.SimpleNamespace(value=dec.Phrases([(str(i), t or "") for i, t in items]))
     out = pa.Table.from_batches(list(dec._pass(held, fields, True, True)(iter(batches)))).to_pylist()
-    assert [(r["id"], r["text"], r["tag"]) for r in out] == rows
+    assert [(r["id"], r["text"], r["row"]) for r in out] == rows
     for r, (_, t) in zip(out, docs, strict=True):
         assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"])) == brute(t, items)[:2]
+
+
+def cut(words, items):
+    """Words that stay, by cutting all hit words until there are none."""
+    windows = {tuple(w[i : i + 10]) for _, t in items if (w := t.split()) for i in range(max(1, len(w) - 9))}
+    while True:
+        hit = {i + k for w in windows for i in range(len(words) - len(w) + 1) if tuple(words[i : i + len(w)]) == w for k in range(len(w))}
+        if not hit:
+            return words
+        words = [w for i, w in enumerate(words) if i not in hit]
+
+
+def test_every_other_word_stays(spark):
+    """Also where a cut brings words together that are hit, again and again."""
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(1, passage), (2, "x y"), (3, "a b c"), (4, None)]
+    docs = [f"clean start x {passage} y clean end", f"a x {passage} y b {passage} c rest", passage, "x y", "nothing here", ""]
+    docs += [" ".join(rng.choice(["x", "y", "a", "b", "c", passage, "other"], 60)) for _ in range(40)]
+    columns = "doc_id long, text string, items string, spans int, n_words long, id int, contaminated string, row string"
+    d = spark.createDataFrame([(i, t, "i", 1, 2, 3, "c", "r") for i, t in enumerate(docs)], columns)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: r for r in dec.removed(d, b, carry=tuple(d.columns[2:])).collect()}
+    for i, t in enumerate(docs):
+        assert got[i].text.split() == cut(t.split(), [x for x in items if x[1]]), i
+        assert tuple(got[i].row) == ("i", 1, 2, 3, "c", "r")
+    assert got[0].text.split() == ["clean", "start", "clean", "end"] and got[1].text.split() == ["rest"]
