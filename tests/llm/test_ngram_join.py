@@ -56,10 +56,14 @@ def test_matches_brute_force(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
-def test_frequent_order_changes_nothing(spark, monkeypatch):
+def test_order_changes_nothing(spark, monkeypatch):
+    """Frequent shingles by a join instead of a broadcast, full bits, further leaders at once, many splits."""
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 1)
+    monkeypatch.setattr(ngram_join, "HOT_BROADCAST", 0)
+    monkeypatch.setattr(ngram_join, "REPEAT_BITS", 10)
+    monkeypatch.setattr(ngram_join, "AGAIN", 0)
     docs = fixture(120)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     assert sorted(map(tuple, ngram_join.join(df).collect())) == brute(docs)
 
 
@@ -70,3 +74,25 @@ def test_signature_bounds_intersection():
         true = len(set(a.tolist()) & set(b.tolist()))
         assert ngram_join.intersection(a, b) == true
         assert ngram_join.most_shared(ngram_join.signature(a), len(a), ngram_join.signature(b), len(b)) >= true
+
+
+def test_a_passage_of_unlike_texts(spark):
+    """Shingles that 90 unlike texts share, one in each of many partitions, come last and give no pairs."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(i, f"{passage} " + " ".join(f"own{i}x{rng.randrange(10**6)}" for _ in range(20))) for i in range(90)]
+    docs += [(100 + i, t) for i, t in docs[:3]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)
+    source = ngram_join.common.id_and_text(df, "doc_id", "text")
+    counts, _ = ngram_join.frequent(source, 5)
+    packed = np.concatenate([np.frombuffer(r.hot, np.uint64) for r in counts.collect()])
+    assert len(packed) == 26 and len(set((packed & np.uint64(0xFFFF)).tolist())) == 1
+    assert {r.at for r in ngram_join.prefix_shingles(ngram_join.sets(source, 5, 80).withColumnRenamed("id", "rep")).collect()} <= set(range(20))
+    assert sorted(map(tuple, ngram_join.join(df).collect())) == brute(docs)
+
+
+def test_ids_with_several_texts(spark):
+    docs = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "a b c d e f g"), (3, "q r s t u v w"), (None, "a b c d e f g")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.join(df).collect()
+    assert len(got) == 5 and {r.component_id for r in got if r.doc_id == 1} == {1} and all(r.n_shingles == 3 for r in got)
