@@ -1,14 +1,15 @@
 """A training corpus from raw documents, in stages that are each written as Parquet and read again.
 
 1. quality: documents that the quality classifier rejects go.
-2. lines: cross-site boilerplate lines go from the texts of the others.
+2. lines: cross-site boilerplate lines go from the texts of the others; mostly copied documents stay whole, for stage 3.
 3. near: of documents that link by shared word shingles, directly or through others, the one of smallest id stays.
-4. benchmark: words inside occurrences of benchmark windows are cut out; documents of which nothing is left go.
+4. benchmark: words inside occurrences of benchmark windows are cut out, also where a cut makes one; documents of which
+   nothing is left go.
 5. tokens: every text is encoded and decoded; the result has counts and digests.
 
 Stages 1 to 4 return the columns of documents; n_chars follows the text. Defined results: a null text counts as empty;
 an empty document goes or stays by its quality score and links with nothing; repeated rows of one id are one
-document after stage 3; empty tables give empty results. Texts are processed whole.
+document after stage 3 (the least of them as JSON where they differ); empty tables give empty results. Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from sievemark.llm import bpe, common, decontamination, line_dedup, ngram_join, quality
 
+#: A document with a copy under another id stays whole if boilerplate lines hold more than this share of it.
+MAX_SHARE = 0.5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = quality.trained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
@@ -25,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(line_dedup.dedup(docs, carry=True), docs)
+    return _with_text(line_dedup.dedup(docs, carry=True, max_share=MAX_SHARE), docs)
 
 
 def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,7 +45,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    once = once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
@@ -50,7 +56,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = decontamination.removed(docs, common.table(spark, sf_dir, "benchmark"), carry=rest)
     left = out.filter(~F.col("contaminated") | F.col("text").rlike("\\S"))
     new = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return left.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
