@@ -7,7 +7,7 @@ are trained by the exact gradient of the likelihood on labelled pages, which `la
 labelled pages exists, so pages of many layouts are generated with the label of every block.
 
 Text of a block goes to its nearest block element. Blocks of nodes with a marginal of 0.5 or more are the main text.
-Defined results: null, empty and markup-free input gives its plain text blocks, mostly none; broken markup closes as
+Defined results: null and empty input gives no text, input without markup its whole text; broken markup closes as
 browsers do; repeated rows give equal results; only the named columns are read; an empty table gives an empty result.
 """
 
@@ -51,6 +51,44 @@ NAME = re.compile(r"[a-z]+")
 FEATURES = 2048
 KINDS = 4  # of potentials between parent and child, by the child's tag
 KEEP = 0.5
+#: Elements that set some text of a page apart.
+HOLDERS = set("article aside div dl footer form header main menu nav ol section table ul".split())
+#: Nodes deeper than this become siblings of the deepest ones, as browsers do; no text is lost.
+DEEPEST = 512
+
+
+class Open:
+    """The open elements: (tag, nearest block node), with the places of each tag, so that looking one up costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = 0  # open elements that have a node
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.blocks += tag in BLOCKS or tag in NODES
+        self.stack.append((tag, node))
+
+    def close(self, size: int) -> None:
+        """Close all elements but the first `size`."""
+        while len(self.stack) > size:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            self.blocks -= tag in BLOCKS or tag in NODES
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_implied(self, tag: str) -> None:
+        """Close what an opening block element ends by itself."""
+        closes, stops = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set()), STOPS.get(tag, set())
+        walls = stops if tag in ENDS else {"table", "button"}
+        while (at := self.last(*closes)) > self.last(*walls):
+            self.close(at)
+            if tag not in ENDS or self.stack[-1][0] in stops:
+                break
 
 
 class Page:
@@ -58,14 +96,35 @@ class Page:
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
+        self.depth: list[int] = [0]
         self.tag: list[str] = ["#root"]
         self.names: list[str] = [""]
         self.label: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.read(source)
 
+    def add(self, parent: int, tag: str, attributes: str) -> int:
+        names, label = [], 0
+        for a in ATTRIBUTE.finditer(attributes):
+            value = a[2] or a[3] or a[4] or ""
+            if a[1].lower() == "data-y":
+                label = int(value == "1")
+            else:
+                names.append(value.lower())
+        if tag == "template" or HIDDEN.search(attributes):
+            names.append("hidden")
+        if self.depth[parent] >= DEEPEST:
+            parent = self.parent[parent]
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        self.names.append(" ".join(names))
+        self.label.append(label)
+        return len(self.parent) - 1
+
     def read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("#root", 0)]  # tag and nearest block node
+        opened = Open()
+        stack, places = opened.stack, opened.places
         buffer: list[str] = []
         links = at = 0
 
@@ -81,7 +140,7 @@ class Page:
             if text:
                 text = html.unescape(text)
                 buffer.append(text)
-                if any(t == "a" for t, _ in stack):
+                if places.get("a"):
                     links += len(text)
 
         end = len(source)
@@ -97,22 +156,21 @@ class Page:
             tag, closing = m[2].lower(), bool(m[1])
             block = tag in BLOCKS or tag in NODES
             if closing:
-                where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if where:
-                    if block or any(t in BLOCKS or t in NODES for t, _ in stack[where:]):
+                if where := opened.last(tag):
+                    if opened.blocks and any(t in BLOCKS or t in NODES for t, _ in stack[where:]):
                         flush()
-                    del stack[where:]
+                    opened.close(where)
                 continue
             if tag in RAW:
                 over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                 at = over.end() if over else end
                 continue
-            if m[3].endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+            if m[3].endswith("/") and (tag in FOREIGN or opened.last(*FOREIGN)):
                 continue
             if tag in OPTIONS:
                 buffer.append(" ")
                 while stack[-1][0] in OPTIONS[tag]:
-                    stack.pop()
+                    opened.close(len(stack) - 1)
             if tag in VOID:
                 if tag == "hr":
                     flush()
@@ -121,31 +179,13 @@ class Page:
                 continue
             if block:
                 flush()
-                closes, stops = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set()), STOPS.get(tag, set())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in stops or stack[i][0] in ("table", "button") and tag not in ENDS:
-                        break
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        if tag not in ENDS or stack[-1][0] in stops:
-                            break
-                names, label = [], 0
-                for a in ATTRIBUTE.finditer(m[3]):
-                    value = a[2] or a[3] or a[4] or ""
-                    if a[1].lower() == "data-y":
-                        label = int(value == "1")
-                    else:
-                        names.append(value.lower())
-                if tag == "template" or HIDDEN.search(m[3]):
-                    names.append("hidden")
-                self.parent.append(stack[-1][1])
-                self.tag.append(tag)
-                self.names.append(" ".join(names))
-                self.label.append(label)
-                stack.append((tag, len(self.parent) - 1))
+                opened.close_implied(tag)
+                opened.push(tag, self.add(stack[-1][1], tag, m[3]))
             else:
-                stack.append((tag, stack[-1][1]))
+                opened.push(tag, stack[-1][1])
         flush()
+        if HOLDERS.isdisjoint(self.tag):  # nothing is set apart from the text: what holds it is judged as an article
+            self.tag[next((self.tag.index(t) for t in ("body", "html") if t in self.tag), 0)] = "article"
 
 
 @functools.cache
@@ -174,12 +214,10 @@ class Forest:
                 all_own[page.parent[i]] += all_own[i]
                 all_link[page.parent[i]] += all_link[i]
             whole = max(1, all_own[0])
-            depth = [0] * n
+            level += page.depth
             for i in range(n):
                 up = page.parent[i]
-                depth[i] = depth[up] + 1 if i else 0
                 parent.append(base + up if i else -1)
-                level.append(depth[i])
                 kinds.append(kind(page.tag[i]))
                 share = all_link[i] / max(1, all_own[i])
                 found = {
@@ -194,7 +232,8 @@ class Forest:
         self.parent, self.level, self.kinds = np.array(parent, int), np.array(level, int), np.array(kinds, int)
         self.rows, self.columns, self.labels = np.array(rows, int), np.array(columns, int), np.array(labels, int)
         self.starts = starts
-        self.levels = [np.flatnonzero(self.level == d) for d in range(1, int(self.level.max(initial=0)) + 1)]
+        order = np.argsort(self.level, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.level[order], np.arange(1, int(self.level.max(initial=0)) + 1)))[1:]
 
 
 class Model:

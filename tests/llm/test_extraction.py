@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +72,25 @@ def test_nothing_swallows_the_rest(model):
     assert [(nested.tag[i], text) for i, text, _ in nested.blocks] == [("template", "a"), ("template", "b"), ("template", "c"), ("div", "d")]
 
 
+def test_bare_pages(model):
+    say = "A sentence of some length that stands on a page of its own. "
+    assert model.texts([f"<p>{say}</p>", say, f"<body>{say}</body>", f"<html><body><p>{say}</p><p>{say}</p></body></html>"]) == [
+        say.strip(), say.strip(), say.strip(), f"{say.strip()}\n\n{say.strip()}"
+    ]
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "a", "li", "table", "p"])
+def test_deep_nesting_is_read_in_linear_time(model, tag):
+    n = 50_000
+    source = f"<{tag}>" * n + "inner words" + f"</{tag}>" * n + "<p>after"
+    began = time.perf_counter()
+    page = extraction.Page(source)
+    assert time.perf_counter() - began < 2
+    assert [t for _, t, _ in page.blocks] in (["inner words", "after"], ["inner wordsafter"])
+    extraction.Model().marginals(extraction.Forest([page]))
+    assert time.perf_counter() - began < 4
+
+
 def test_pages(spark, model):
     pages = common.table(spark, SF, "pages")
     got = {r.page_id: r for r in extraction.query(spark, SF).collect()}
