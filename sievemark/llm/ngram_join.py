@@ -37,7 +37,7 @@ WORDS, PERCENT = 5, 80
 HOT_LEAST = 6
 #: Up to so many of them (8 bytes each) are broadcast; beyond that they reach their documents by a join.
 HOT_BROADCAST = 1 << 23
-COUNT_SHINGLES = 3 << 20  # counted at once in a task
+COUNT_SHINGLES = 1 << 21  # counted at once in a task
 KEY_BITS = 48  # of a shingle's hash, to count it by
 REPEAT_BITS = 27  # log2 of the bits that tell which shingles only one document has; when full, all pass
 FILTER_BITS = 23  # log2 of the bits that pre-select documents whose arrays are needed
@@ -182,7 +182,7 @@ def frequent(source: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """
     spark = source.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, least = 1 << max(0, min(16, (2 * deal - 1).bit_length())), HOT_LEAST
+    parts, least, width = 1 << max(0, min(16, (2 * deal - 1).bit_length())), HOT_LEAST, REPEAT_BITS
     fields = common.arrow_schema(spark, BLOCKS)
     found = "part int, bits binary, hot binary"
     out = common.arrow_schema(spark, found)
@@ -218,8 +218,8 @@ def frequent(source: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             keys = keys[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             keys, docs, counted = keys[first], np.add.reduceat(docs[order], first), np.add.reduceat(counted[order], first)
-            bits = np.zeros((1 << REPEAT_BITS) // parts, bool)
-            place = (keys[docs > 1] >> np.uint64(KEY_BITS - REPEAT_BITS)).astype(np.int64)
+            bits = np.zeros((1 << width) // parts, bool)
+            place = (keys[docs > 1] >> np.uint64(KEY_BITS - width)).astype(np.int64)
             bits[place - part * len(bits)] = True
             hot = counted >= least
             packed = keys[hot] << np.uint64(16) | levels(counted[hot])
@@ -238,7 +238,7 @@ def frequent(source: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
     blocks = source.mapInArrow(count, BLOCKS).repartition(deal, "part").sortWithinPartitions("part")
     counts = common.written(blocks.mapInArrow(add, found), "counts")
-    bits = np.zeros((1 << REPEAT_BITS) // 8, np.uint8)
+    bits = np.zeros((1 << width) // 8, np.uint8)
     rows = counts.select("part", "bits").toArrow()  # 2^REPEAT_BITS bits in all, whatever the input
     for part, body in zip(*(c.to_pylist() for c in rows.columns), strict=True):
         own = np.frombuffer(body, np.uint8)
@@ -277,7 +277,7 @@ def with_levels(source: DataFrame, counts: DataFrame, bits, words: int) -> tuple
 
 def repeated(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which shingles more than one document may have."""
-    at = (own >> np.uint64(64 - REPEAT_BITS)).astype(np.int64)
+    at = (own >> np.uint64(65 - (8 * len(bits)).bit_length())).astype(np.int64)
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
@@ -315,17 +315,21 @@ def sets(source: DataFrame, words: int, percent: int) -> DataFrame:
     return found
 
 
-def prefix_shingles(classes: DataFrame) -> DataFrame:
-    """(token, n, at, cold, rep, before) of prefix shingles; at is the place in the set's order, before the prefix shingles
-    just before it."""
-    schema = "token long, n int, at int, cold int, rep long, before array<long>"
+def tiles(classes: DataFrame, percent: int, label: DataFrame | None = None) -> DataFrame:
+    """(token, n, at, cold, rep, component, before, band) of prefix shingles; at is the place in the set's order, before
+    the prefix shingles just before it. Components are those of label (node, component), or each rep's own."""
+    if label is None:
+        classes = classes.withColumn("component", F.col("rep"))
+    else:
+        classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    schema = "token long, n int, at int, cold int, rep long, component long, before array<long>"
     fields = common.arrow_schema(classes.sparkSession, schema)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, n, cold = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            prefix = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
-            at = [np.frombuffer(x, np.int32) for x in batch.column(4).to_pylist()]
+            reps, n, cold, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            prefix = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
+            at = [np.frombuffer(x, np.int32) for x in batch.column(5).to_pylist()]
             times = [len(x) for x in prefix]
             if not sum(times):
                 continue
@@ -335,9 +339,10 @@ def prefix_shingles(classes: DataFrame) -> DataFrame:
             starts = ends - np.minimum(place, BEFORE)
             pick = np.arange(ends[-1]) - np.repeat(starts - np.arange(len(tokens)) + np.minimum(place, BEFORE), ends - starts)
             before = pa.ListArray.from_arrays(np.r_[starts, ends[-1]].astype(np.int32), pa.array(tokens[pick]))
-            yield pa.RecordBatch.from_arrays([tokens, np.repeat(n, times).astype(np.int32), np.concatenate(at), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times), before.cast(fields.field("before").type)], schema=fields)
+            yield pa.RecordBatch.from_arrays([tokens, np.repeat(n, times).astype(np.int32), np.concatenate(at), np.repeat(cold, times).astype(np.int32), np.repeat(reps, times), np.repeat(component, times), before.cast(fields.field("before").type)], schema=fields)
 
-    return classes.select("rep", "n", "cold", "prefix", "at").mapInArrow(explode, schema)
+    rows = classes.select("rep", "n", "cold", "component", "prefix", "at").mapInArrow(explode, schema)
+    return rows.withColumn("band", size_band(F.col("n"), percent))
 
 
 def size_band(n, percent: int):
@@ -396,12 +401,12 @@ def decided(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int,
     return links
 
 
-def stars(tiles: DataFrame, among: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one leader (fewest shingles of its own) of each shingle and band of `among` and all of tiles that
+def stars(rows: DataFrame, among: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader (fewest shingles of its own) of each shingle and band of `among` and all of rows that
     have the shingle, in the same or a neighbouring band."""
     leaders = among.groupBy("token", "band").agg(F.min(F.struct("cold", "rep", "n", "at", "component")).alias("x"))
     nearby = leaders.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "x")
-    both = tiles.join(nearby, ["token", "band"]).filter("rep != x.rep and component != x.component")
+    both = rows.drop("before").join(nearby, ["token", "band"]).filter("rep != x.rep and component != x.component")
     both = both.filter(early("x.n", "x.at", percent))
     return both.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct()
 
@@ -424,16 +429,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     same = [F.first(c).alias(c) for c in ("n", "cold", "prefix", "at", "bits")]  # equal in all of a class
     classes = common.written(found.join(reps, "class").groupBy("class", "rep").agg(*same), "classes")
     common.dropped(spark, found)
-    tiles = prefix_shingles(classes).withColumn("band", size_band(F.col("n"), percent))
-    tiles = common.written(tiles, "tiles")
 
-    alone = tiles.withColumn("component", F.col("rep"))
+    alone = tiles(classes, percent)
     tried = common.written(stars(alone, alone, percent), "pairs")
     links = decided(tried, classes, source, words, percent)
     while True:
         label = components(links)
-        where = tiles.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        where = where.withColumn("component", F.coalesce("component", "rep"))
+        where = tiles(classes, percent, label)
         apart = where.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
         where = common.written(where.join(apart, "token"), "apart")
         main = where.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
@@ -457,7 +459,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     )
     second = cross.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct()
     second = common.written(second.join(tried, ["a", "b"], "left_anti"), "pairs")
-    common.dropped(spark, where, tiles)
+    common.dropped(spark, where)
     more = decided(second, classes, source, words, percent)
     label = components(links.union(more))
 

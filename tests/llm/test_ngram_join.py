@@ -87,7 +87,7 @@ def test_a_passage_of_unlike_texts(spark):
     counts, _ = ngram_join.frequent(source, 5)
     packed = np.concatenate([np.frombuffer(r.hot, np.uint64) for r in counts.collect()])
     assert len(packed) == 26 and len(set((packed & np.uint64(0xFFFF)).tolist())) == 1
-    assert {r.at for r in ngram_join.prefix_shingles(ngram_join.sets(source, 5, 80).withColumnRenamed("id", "rep")).collect()} <= set(range(20))
+    assert {r.at for r in ngram_join.tiles(ngram_join.sets(source, 5, 80).withColumnRenamed("id", "rep"), 80).collect()} <= set(range(20))
     assert sorted(map(tuple, ngram_join.join(df).collect())) == brute(docs)
 
 
