@@ -404,11 +404,17 @@ def decided(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int,
 def stars(rows: DataFrame, among: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one leader (fewest shingles of its own) of each shingle and band of `among` and all of rows that
     have the shingle, in the same or a neighbouring band."""
-    leaders = among.groupBy("token", "band").agg(F.min(F.struct("cold", "rep", "n", "at", "component")).alias("x"))
-    nearby = leaders.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "x")
-    both = rows.drop("before").join(nearby, ["token", "band"]).filter("rep != x.rep and component != x.component")
+    leaders = among.groupBy("token", "band").agg(F.min(F.struct("cold", "rep", "n", "at", "component", "band")).alias("x"), F.count("*").alias("k"))
+    leaders = leaders.groupBy("token").agg(F.collect_list("x").alias("xs"), F.sum("k").alias("k"))  # one for each band
+    if among is rows:
+        leaders = leaders.filter("k > 1")
+    leaders = common.written(leaders, "leaders")  # so that the join can split what a hot shingle has
+    nearby = F.filter("xs", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & (x["rep"] != F.col("rep")) & (x["component"] != F.col("component")))
+    both = rows.drop("before").join(leaders, "token").select("rep", "n", "at", F.explode(nearby).alias("x"))
     both = both.filter(early("x.n", "x.at", percent))
-    return both.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct()
+    pairs = common.written(both.select(F.least("x.rep", "rep").alias("a"), F.greatest("x.rep", "rep").alias("b")).distinct(), "pairs")
+    common.dropped(rows.sparkSession, leaders)
+    return pairs
 
 
 def early(n: str, at: str, percent: int) -> str:
@@ -431,7 +437,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     common.dropped(spark, found)
 
     alone = tiles(classes, percent)
-    tried = common.written(stars(alone, alone, percent), "pairs")
+    tried = stars(alone, alone, percent)
     links = decided(tried, classes, source, words, percent)
     while True:
         label = components(links)
