@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,21 +20,19 @@ def with_context(df: DataFrame, key: str, before: int = 2, after: int = 2) -> Da
     return df.withColumn("before", around(-before, -1)).withColumn("after", around(1, after))
 
 
-def first_seen(value: Column, *order: str) -> Column:
-    """An aggregate: distinct values in the order of their first row."""
-    rows = F.array_sort(F.collect_set(F.struct(*order, value.alias("v"))))
-    return F.array_distinct(F.transform(rows, lambda r: r["v"]))
-
-
 def dedupe(df: DataFrame, key: str, site: str) -> DataFrame:
-    """One row per normalized sentence: hash, the first text, occurrences, documents, and sites as first seen."""
+    """One row per normalized sentence: hash, the first text, occurrences, documents, and sites as first seen.
+
+    Sites are first cut down to one row each, so a frequent sentence gathers its sites only.
+    """
     hashed = df.withColumn("hash", T.sha(T.normalized(F.col("sentence"))))
-    return hashed.groupBy("hash").agg(
-        F.min_by("sentence", F.struct(key, "pos")).alias("text"),
-        F.count("*").alias("occurrences"),
-        F.count_distinct(F.col(key)).alias("documents"),
-        first_seen(F.col(site), key, "pos").alias("sites"),
-    )
+    at = F.struct(key, "pos")
+    texts = hashed.groupBy("hash").agg(
+        F.min_by("sentence", at).alias("text"), F.count("*").alias("occurrences"), F.count_distinct(F.col(key)).alias("documents")
+    )
+    first = hashed.groupBy("hash", F.col(site).alias("site")).agg(F.min(at).alias("at"))
+    sites = F.transform(F.array_sort(F.collect_list(F.struct("at", "site"))), lambda r: r["site"])
+    return texts.join(first.groupBy("hash").agg(sites.alias("sites")), "hash")
 
 
 def boilerplate(df: DataFrame, key: str, site: str, least: int = 3, share: float = 0.3) -> DataFrame:

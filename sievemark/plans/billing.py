@@ -115,7 +115,7 @@ def evidence_stats(spark, sf_dir):
 
 @query("""select o_orderkey, (select min(o_orderdate::date + to_months(k::int)) from range(0, 481, 3) as r(k) where o_orderdate::date + to_months(k::int) >= timestamp '1999-01-15')::date as next_day from orders""")
 def next_period(spark, sf_dir):
-    """DT-04, DT-05."""
+    """DT-04."""
     floor = F.to_date(F.lit("1999-01-15"))
     return table(spark, sf_dir, "orders").select("o_orderkey", N.next_period(F.to_date("o_orderdate"), 3, floor, 480).alias("next_day"))
 
@@ -127,12 +127,13 @@ def monthly_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(month, "o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(28,2)").alias("total"), F.count_distinct("o_custkey").alias("customers"))
 
 
-@query("""with d as (select p_partkey, p_brand, cast(p_retailprice as decimal(12,2)) as old, case p_size % 3 when 0 then 1.1 when 1 then 0.9 else 1 end as f from part)
-select p_brand, count(*) filter (f > 1) as up, count(*) filter (f < 1) as down, count(*) filter (f = 1) as same from d group by p_brand""")
+@query("""with d as (select p_partkey, p_brand, cast(p_retailprice as decimal(12,2)) as old, round(cast(p_retailprice as decimal(12,2)), -1) as draft from part)
+select p_brand, count(*) filter (draft > old) as up, count(*) filter (draft < old) as down, count(*) filter (draft = old) as same from d group by p_brand""")
 def price_impact(spark, sf_dir):
-    """AGG-26."""
-    m = F.col("p_size") % 3
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(m == 0).alias("up"), F.count_if(m == 1).alias("down"), F.count_if(m == 2).alias("same"))
+    """AGG-26: prices of a draft list (here rounded to tens) against those that hold."""
+    old = F.col("p_retailprice").cast("decimal(12,2)")
+    draft = F.round(old, -1)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(draft > old).alias("up"), F.count_if(draft < old).alias("down"), F.count_if(draft == old).alias("same"))
 
 
 @query("""with f as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice from orders)
@@ -216,10 +217,10 @@ def places_of_sale(spark, sf_dir):
 
 @query("""with x as (select p_brand, p_type, list_sort(list(distinct p_size)) as sizes from part group by all)
 select a.p_brand, a.p_type, round(len(list_intersect(a.sizes, b.sizes)) / len(list_distinct(list_concat(a.sizes, b.sizes))), 6) as similarity
-from x a join x b on a.p_brand = b.p_brand and a.p_type < b.p_type where a.p_brand = 'Brand#11'""")
+from x a join x b on a.p_brand = b.p_brand and a.p_type < b.p_type""")
 def jaccard(spark, sf_dir):
     """SET-04, SET-05, SET-06, ARR-01."""
-    x = table(spark, sf_dir, "part").filter("p_brand = 'Brand#11'").groupBy("p_brand", "p_type").agg(F.collect_set("p_size").alias("sizes"))
+    x = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.collect_set("p_size").alias("sizes"))
     y = x.select("p_brand", F.col("p_type").alias("other"), F.col("sizes").alias("theirs"))
     j = x.join(y, "p_brand").filter("p_type < other")
     return j.select("p_brand", "p_type", F.round(N.jaccard(F.col("sizes"), F.col("theirs")), 6).alias("similarity"))
@@ -234,7 +235,7 @@ def sample_top(spark, sf_dir):
 
 @query("""select c_custkey, replace(replace('{name} in {segment}', '{name}', c_name), '{segment}', c_mktsegment) as line, regexp_replace(lower(regexp_replace(c_mktsegment, '([A-Z])', '_\\1', 'g')), '^_', '') as snake from customer""")
 def rendered_lines(spark, sf_dir):
-    """STR-20, STR-22, SNK-07."""
+    """STR-20, STR-22."""
     values = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
     return table(spark, sf_dir, "customer").select("c_custkey", T.rendered(F.lit("{name} in {segment}"), values).alias("line"), T.snake(F.col("c_mktsegment")).alias("snake"))
 
@@ -248,7 +249,7 @@ def severity_counts(spark, sf_dir):
 @query("""select o_custkey, o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R' and l_quantity > 45)
 and o_custkey not in (select c_custkey from customer where c_acctbal < 0)""")
 def semi_and_anti(spark, sf_dir):
-    """JOIN-05, JOIN-06, JOIN-12."""
+    """JOIN-05, JOIN-06."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     big = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))

@@ -190,7 +190,7 @@ def run_outcome(spark, sf_dir):
 
 @query(f"""select event_id, {K} as k, json_exists(props, '$.k') as has_k, '{{"id":' || event_id || ',"type":"' || event_type || '"}}' as doc from events""")
 def event_json(spark, sf_dir):
-    """JSN-01, JSN-02, SNK-04."""
+    """JSN-01, SNK-04."""
     m = F.from_json("props", "map<string,string>")
     return events(spark, sf_dir).select("event_id", k().alias("k"), F.coalesce(F.map_contains_key(m, F.lit("k")), F.lit(False)).alias("has_k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("doc"))
 

@@ -32,7 +32,7 @@ def findings_order(spark, sf_dir):
 
 @query(f"""with {VERDICTS} select doc_id, '[' || string_agg('{{"jurisdiction":"' || jurisdiction || '","status":"' || status || '","band":"' || band || '"}}', ',' order by rule_id, jurisdiction) || ']' as verdicts from v group by doc_id""")
 def findings_json(spark, sf_dir):
-    """SNK-05, SNK-06: nested documents as canonical JSON, keys and items in a fixed order."""
+    """SNK-05: nested documents as canonical JSON, keys and items in a fixed order."""
     item = F.struct("rule_id", "jurisdiction", "status", "band")
     items = F.transform(F.array_sort(F.collect_list(item)), lambda v: F.struct(v["jurisdiction"].alias("jurisdiction"), v["status"].alias("status"), v["band"].alias("band")))
     return _verdicts(spark, sf_dir).groupBy("doc_id").agg(F.to_json(items).alias("verdicts"))

@@ -37,33 +37,33 @@ def request_grouping(spark, sf_dir):
 
 
 @query("""with d as (select doc_id, source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as body from documents),
-q as (select item_id as id, 'src' || (item_id % 20) as site, item_id as page, lower(trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g'))) as quote from benchmark),
+q as (select item_id as id, 'src' || (item_id % 20) as site, item_id as page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as quote from benchmark),
 h as (select id, min((doc_id <> page, doc_id)) as b from q join d on d.source = q.site and contains(d.body, q.quote) group by id)
 select id, b[2] as page, b[1] as moved from h""")
 def quote_verification(spark, sf_dir):
     """JOIN-16, STR-18."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("site"), F.col("item_id").alias("page"), F.left("text", F.lit(30)).alias("quote"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("site"), F.col("item_id").alias("page"), F.col("text").alias("quote"))
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("site"), F.col("doc_id").alias("page"), "text")
     return W.verified_quotes(q, d, lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))))
 
 
-@query("""with t as (select doc_id, list_distinct(string_split(left(text, 200), ' ')) as w from documents),
+@query("""with t as (select doc_id, list_distinct(string_split(text, ' ')) as w from documents),
 p(profile, known) as (values ('en', ['the', 'of', 'and', 'to']), ('fr', ['de', 'la', 'le']), ('es', ['de', 'que', 'la'])),
 s as (select doc_id, profile, len(list_filter(w, lambda x: not list_contains(known, x))) / greatest(len(w), 1) as share from t, p),
 b as (select doc_id, min((share, profile)) as b from s group by doc_id)
 select doc_id, case when b[1] <= 0.9 then b[2] end as profile, b[1] as share from b""")
 def profile_match(spark, sf_dir):
-    """JOIN-15, DOM-08."""
+    """JOIN-15."""
     profiles = spark.createDataFrame([("en", ["the", "of", "and", "to"]), ("fr", ["de", "la", "le"]), ("es", ["de", "que", "la"])], "profile string, known array<string>")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.left("text", F.lit(200)), " ").alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     return W.best_profile(docs, profiles, "doc_id", "w", 0.9)
 
 
-@query("""select doc_id, replace(replace(left(text, 120), 'the', 'THE'), ' of ', ' OF ') as fixed from documents""")
+@query("""select doc_id, replace(replace(text, 'the', 'THE'), ' of ', ' OF ') as fixed from documents""")
 def composed_text(spark, sf_dir):
     """STR-21."""
     changes = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in (("the", "THE"), (" of ", " OF "), ("", "x"))])
-    return table(spark, sf_dir, "documents").select("doc_id", W.composed(F.left("text", F.lit(120)), changes).alias("fixed"))
+    return table(spark, sf_dir, "documents").select("doc_id", W.composed(F.col("text"), changes).alias("fixed"))
 
 
 @query("""select d.doc_id, case when l.quality = 1 then 'still_finding' when l.quality = 0 then 'resolved' else 'waiting' end as status from documents d left join labels l using (doc_id)""")
@@ -184,7 +184,7 @@ LANG = "regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})(?:/|$)', 1)"
 @query(f"""with v as (select {HOST} as host, {LANG} as lang, page_id, case when url like 'https%' then 0 else 1 end as source from pages where {LANG} <> '')
 select host, lang, page_id, source::bigint as source from (select *, row_number() over (partition by host, lang order by source, page_id) as n from v) where n = 1""")
 def language_versions(spark, sf_dir):
-    """DOM-12, DOM-30: of each language the source of highest priority."""
+    """DOM-12: of each language the source of highest priority."""
     lang = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})(?:/|$)", 1)
     v = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"), lang.alias("lang"), "page_id", F.when(F.col("url").startswith("https"), 0).otherwise(1).cast("long").alias("source"))
     best = v.filter("lang <> ''").groupBy("host", "lang").agg(F.min(F.struct("source", "page_id")).alias("b"))
@@ -194,7 +194,7 @@ def language_versions(spark, sf_dir):
 @query(f"""with e as (select event_id, user_id, 'k=' || {K} as code, event_type as kind from events), d as (select *, row_number() over (partition by user_id, kind, code order by event_id) as n from e)
 select user_id, kind, code, string_split(code, '=')[2] as param, event_id from d where n = 1""")
 def market_evidence(spark, sf_dir):
-    """DOM-11, DOM-29, FLT-23."""
+    """DOM-29."""
     e = events(spark, sf_dir).filter("kk is not null").select("event_id", "user_id", F.concat(F.lit("k="), "kk").alias("code"), F.col("event_type").alias("kind"))
     first = e.groupBy("user_id", "kind", "code").agg(F.min("event_id").alias("event_id"))
     return first.select("user_id", "kind", "code", F.element_at(F.split("code", "="), 2).alias("param"), "event_id")
@@ -208,12 +208,12 @@ def decision_memory(spark, sf_dir):
     return events(spark, sf_dir).select("user_id", "event_id", F.lead("ts").over(w).alias("superseded_at"))
 
 
-@query("""with w(pos, word) as (values (1, 'the'), (2, 'que'), (3, 'und')), m as (select doc_id, pos, word from documents, w where contains(strip_accents(lower(left(text, 300))), word))
+@query("""with w(pos, word) as (values (1, 'the'), (2, 'que'), (3, 'und')), m as (select doc_id, pos, word from documents, w where contains(strip_accents(lower(text)), word))
 select doc_id, arg_min(word, pos) as keyword from m group by doc_id""")
 def keyword_review(spark, sf_dir):
     """FLT-19: the first keyword of a list in each text, marks removed."""
     words = ("the", "que", "und")
-    plain = T.strip_marks(F.lower(F.left("text", F.lit(300))))
+    plain = T.strip_marks(F.lower("text"))
     hits = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains("p", w))
     return table(spark, sf_dir, "documents").select("doc_id", plain.alias("p")).select("doc_id", F.try_element_at(hits, F.lit(1)).alias("keyword")).filter("keyword is not null")
 

@@ -57,10 +57,10 @@ def slugs(spark, sf_dir):
     return docs.select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
 
 
-@query("select doc_id, strip_accents(left(text, 200)) as plain from documents")
+@query("select doc_id, strip_accents(text) as plain from documents")
 def unmarked_text(spark, sf_dir):
     """STR-03, all of Unicode."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_marks(F.left("text", F.lit(200))).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_marks(F.col("text")).alias("plain"))
 
 
 @query(f"with {SENTENCES} select doc_id, pos::bigint as pos, sentence from sent")
@@ -210,7 +210,7 @@ def merge_same_text(spark, sf_dir):
 
 
 SUPPRESS = f"""{SENTENCES}, f as (select doc_id * 100000 + pos as id, 'R' || (doc_id % 3) as rule_id, source || (doc_id % 5) as url,
- left(sentence, case when pos % 2 = 0 then 500 else 12 end) as text, case when pos % 2 = 0 then 'primary' else 'secondary' end as source_kind from sent)"""
+ sentence as text, case when pos % 2 = 0 then 'primary' else 'secondary' end as source_kind from sent)"""
 
 
 @query(f"""with {SUPPRESS}, gone as (select distinct s.id from f s join f p on s.rule_id = p.rule_id and s.url = p.url
@@ -221,7 +221,7 @@ def suppress_repeated(spark, sf_dir):
     odd = F.col("pos") % 2 == 1
     found = sentence_table(spark, sf_dir).select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.concat(F.lit("R"), F.col("doc_id") % 3).alias("rule_id"),
-        F.concat("source", F.col("doc_id") % 5).alias("url"), F.left("sentence", F.when(odd, 12).otherwise(500)).alias("text"),
+        F.concat("source", F.col("doc_id") % 5).alias("url"), F.col("sentence").alias("text"),
         F.when(odd, "secondary").otherwise("primary").alias("source"),
     )
     return R.without_repeated(found, "id").select("id", "rule_id", F.col("source").alias("source_kind"))
@@ -256,10 +256,10 @@ def rule_claim_list(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(hits).alias("id"), "doc_id")
 
 
-@query("""select b.item_id, count(d.doc_id) as pages from benchmark b left join documents d on contains(d.text, left(b.text, 40)) group by b.item_id""")
+@query("""select b.item_id, count(d.doc_id) as pages from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id""")
 def rule_allowlist_page(spark, sf_dir):
     """FLT-10: pages that hold a listed phrase; the list is bounded (checked) and goes to every task."""
-    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("phrase"))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
     if phrases.limit(100_001).count() > 100_000:
         raise ValueError("a phrase list holds at most 100,000 phrases")
     hits = table(spark, sf_dir, "documents").join(F.broadcast(phrases), F.contains("text", "phrase")).groupBy("item_id").agg(F.count("*").alias("n"))

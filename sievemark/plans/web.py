@@ -78,20 +78,20 @@ def page_classify(spark, sf_dir):
 
 @query(f"""select {HOST} as host, count(*) as n, substr(sha256(string_agg(distinct url, chr(10) order by url)), 1, 16) as group_key from pages group by 1""")
 def hreflang_groups(spark, sf_dir):
-    """JSN-03, AGG-17."""
+    """JSN-03."""
     g = pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.collect_set("url").alias("urls"))
     return g.select("host", "n", U.group_key(F.col("urls")).alias("group_key"))
 
 
 @query()
 def html_blocks(spark, sf_dir):
-    """SRC-05, GEN-01, GEN-02, GEN-03."""
+    """SRC-05, GEN-01."""
     return P.blocks(P.parsed(pages(spark, sf_dir)))
 
 
 @query("""with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as link from pages) select page_id as id, link, count(*) as n from l group by all""")
 def html_links(spark, sf_dir):
-    """GEN-07, GEN-09."""
+    """GEN-07, links only."""
     links = P.parsed(pages(spark, sf_dir)).select("id", F.explode("links").alias("link"))
     return links.groupBy("id", "link").agg(F.count("*").alias("n"))
 
