@@ -71,3 +71,8 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones are equal."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def trial_end(start: Column, days: int | None = None) -> Column:
+    """The same day of the next month (its last day where it is shorter), or so many days later."""
+    return F.add_months(start, 1) if days is None else F.date_add(start, days)

@@ -94,6 +94,11 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(without_marks(text)), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def language_tag(tag: Column) -> Column:
+    """Lower case, trimmed, hyphens for underscores."""
+    return F.lower(F.replace(F.trim(tag), F.lit("_"), F.lit("-")))
+
+
 def language(tag: Column) -> Column:
     """The primary part of a language tag."""
     return F.element_at(F.split(F.lower(F.replace(tag, F.lit("_"), F.lit("-"))), "-"), 1)

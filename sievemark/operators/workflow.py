@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +71,46 @@ def frontier(urls: DataFrame, site: str, limit: int) -> DataFrame:
     q = q.withColumn("turn", F.when(F.col("queue") == 0, F.lit(0)).otherwise(place)).withColumn("place", place)
     n = F.row_number().over(Window.partitionBy(site).orderBy("turn", "queue", "place"))
     return q.withColumn("n", n).filter(F.col("n") <= limit).drop("queue", "turn", "place")
+
+
+def holding(sets: DataFrame, ids: str, found: DataFrame, key: str) -> DataFrame:
+    """Rows of `found` with each row of `sets` whose array `ids` holds their key; an id repeated in one array counts once."""
+    return sets.withColumn(key, F.explode(F.array_distinct(ids))).drop(ids).join(found, key)
+
+
+def reach(questions: DataFrame, places: DataFrame, by: str, question: str, finding: str, own: str, page: str) -> DataFrame:
+    """Distinct questions, findings and pages by answer: pages where a finding occurs, and its own page if it has one."""
+    pages = questions.select(by, finding).distinct().join(places.select(finding, page).distinct(), finding).select(by, page)
+    pages = pages.unionByName(questions.filter(F.col(own).isNotNull()).select(F.col(by), F.col(own).alias(page)))
+    counted = pages.groupBy(by).agg(F.count_distinct(page).alias("pages"))
+    asked = questions.groupBy(by).agg(F.count_distinct(question).alias("questions"), F.count_distinct(finding).alias("findings"))
+    return asked.join(counted, by, "left").fillna(0, ["pages"])
+
+
+def markdown(found: DataFrame, section: str, item: str, label: str) -> DataFrame:
+    """(section, part, item, line): a heading for each section and a line for each item; the order of the report is that of the first three."""
+    n = found.groupBy(section, item).agg(F.count("*").alias("n"))
+    head = n.groupBy(section).agg(F.count("*").alias("items"), F.sum("n").alias("n"))
+    title = F.concat(F.lit("## "), section, F.lit(": "), "items", F.lit(f" {label}s, "), "n", F.lit(" places"))
+    line = F.concat(F.lit(f"- {label} "), item, F.lit(": "), "n", F.lit(" places"))
+    top = head.select(F.col(section).alias("section"), F.lit(0).alias("part"), F.lit(None).cast(n.schema[item].dataType).alias("item"), title.alias("line"))
+    return top.unionByName(n.select(F.col(section).alias("section"), F.lit(1).alias("part"), F.col(item).alias("item"), line.alias("line")))
+
+
+def rewritten(df: DataFrame, text: str, rewrite=None, out: str = "rewritten") -> DataFrame:
+    """Texts through a pluggable rewriter: a picklable function from a Series of texts to a Series of texts, batch by batch.
+
+    By default the mock: trims and ends the text with a full stop. Null stays null, whatever the rewriter gives.
+    """
+    plug = rewrite or _mock_rewrite
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        asked = texts.dropna()
+        return plug(asked).reindex(texts.index) if len(asked) else texts
+
+    return df.withColumn(out, run(text))
+
+
+def _mock_rewrite(texts: pd.Series) -> pd.Series:
+    return texts.str.strip().str.rstrip(".") + "."

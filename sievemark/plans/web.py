@@ -54,17 +54,14 @@ def url_filter(spark, sf_dir):
 
 
 @query(f"""with p as (select page_id, {PATH} || case when contains(url, '?') then '?' || regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) else '' end as path from pages)
-select page_id, case when path like '/de/1%' then true when path like '/de/%' or path like '/%?page=%' then
- case when path like '/de/1%' and not path like '/%?page=%' then true else false end else true end as allow from p
-where not (path like '/de/1%' and path like '/%?page=%')""")
+select page_id, case when path like '/%?page=%' then false when path like '/de/1%' then true when path like '/de/%' then false else true end as allow from p""")
 def robots_longest_match(spark, sf_dir):
-    """FLT-02, SRC-03."""
+    """FLT-02, SRC-03: where several rules match, the longest pattern decides."""
     rules = P.robots(spark.createDataFrame([("all", ROBOTS)], "site string, body string"))
     u = F.regexp_replace("url", "#.*$", "")
     q = U.part(u, "QUERY")
     path = F.concat(F.coalesce(U.part(u, "PATH"), F.lit("")), F.when(q.isNull(), "").otherwise(F.concat(F.lit("?"), q)))
     urls = pages(spark, sf_dir).select("page_id", F.lit("all").alias("site"), path.alias("path"))
-    urls = urls.filter("not (path like '/de/1%' and path like '/%?page=%')")
     return P.allowed(urls, rules, "site", "path").select("page_id", "allow")
 
 
