@@ -21,6 +21,8 @@ from sievemark.llm import bpe, common, decontamination, line_dedup, ngram_join,
 
 #: A document with a copy under another id stays whole if boilerplate lines hold more than this share of it.
 MAX_SHARE = 0.5
+#: Up to so many ids (at most 32 bytes each in memory) go to every task; beyond that documents are shuffled by id.
+BROADCAST_IDS = 2_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,10 @@ def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = common.written(ngram_join.join(docs), "joined")
-    gone = joined.filter("doc_id != component_id").select("doc_id").distinct()
+    linked = joined.filter("doc_id != component_id").select("doc_id")
+    gone = linked.distinct()
+    if linked.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     repeated = joined.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
