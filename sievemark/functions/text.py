@@ -134,14 +134,19 @@ def mock_probability(question: Column, text: Column, tokens: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(hit, 0.9).otherwise(0.06) + noise)), 3)
 
 
-#: Abbreviations after which a full stop doesn't end a sentence.
-ABBREVIATIONS = frozenset("approx dr mr mrs ms prof st vs etc e.g i.e cf no fig art al inc ltd co bzw z.b u.a usw ca nr str tel tj atd apod např č ul".split())
+#: Abbreviations that something always follows (a name, a number, an example): their full stop ends no sentence.
+LEADING = frozenset("approx dr mr mrs ms prof st vs e.g i.e cf no fig art al bzw z.b ca nr str tel tj např č ul".split())
+#: Abbreviations that may stand last: their full stop ends a sentence before an upper-case letter or an opening mark.
+TRAILING = frozenset("etc inc ltd co usw u.a atd apod".split())
 CLOSING = "\"'”“»’)]"
+OPENING = "\"'„“«‚‘([»"
 
 
 def sentence_list(text: str | None, most: int = 1000) -> list[str]:
     """Sentences of a text: abbreviations, initials, dates and ellipses go on; closing quotes belong to what they close.
 
+    A number of one or two digits goes on ("3. Payment", "3. May"); a longer one ends before an upper-case letter.
+
     A sentence over `most` characters is cut at the last "; ", ", ", dash or space in its second half, else hard.
     """
     out: list[str] = []
@@ -158,10 +163,13 @@ def sentence_list(text: str | None, most: int = 1000) -> list[str]:
                 end += 1
             word = line[start:at].rpartition(" ")[2].lower().lstrip("(\"'„“«")
             following = line[end:].lstrip()[:1]
-            open_ = line[at] == "." and end == at + 1 and (
-                word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or word.isdigit() and len(word) <= 2
-            )
-            if end < n and (not line[end].isspace() or open_ or following.islower()):
+            goes_on = following.islower()
+            if line[at] == "." and end == at + 1:
+                if word in LEADING or len(word) == 1 and word.isalpha() or word.isdigit() and (len(word) <= 2 or line[start:at].strip() == word):
+                    goes_on = True
+                elif word in TRAILING or word.isdigit():
+                    goes_on = not (following.isupper() or following in OPENING)
+            if end < n and (not line[end].isspace() or goes_on):
                 at = end
                 continue
             out += _cut(line[start:end].strip(), most)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 
 def propagated(answers: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,6 +51,33 @@ def composed(text: Column, changes: Column) -> Column:
     return F.aggregate(changes, text, lambda t, c: F.when(c["old"] == "", t).otherwise(F.replace(t, c["old"], c["new"])))
 
 
+def place(text: str, changes) -> tuple[str, list[int]]:
+    """text with each change (old, new) at the first spot of its old words, whatever the white space between them, that
+    no earlier change has taken; and the numbers, from 0, of the changes without such a spot."""
+    taken: list[tuple[int, int, str]] = []
+    missed = []
+    for i, change in enumerate(changes):
+        words = (change["old"] or "").split()
+        spots = re.finditer(r"\s+".join(map(re.escape, words)), text) if words else ()
+        spot = next((m.span() for m in spots if all(m.end() <= a or b <= m.start() for a, b, _ in taken)), None)
+        if spot:
+            taken.append((*spot, change["new"] or ""))
+        else:
+            missed.append(i)
+    out, at = [], 0
+    for a, b, new in sorted(taken):
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]]), missed
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("unplaced", ArrayType(IntegerType())))
+def placed(text: pd.Series, changes: pd.Series) -> pd.DataFrame:
+    """place() on columns; a null text stays null and takes no change, and a null list holds none."""
+    rows = [(None, [*range(len(c))]) if t is None else place(t, c) for t, c in ((t, [] if c is None else c) for t, c in zip(text, changes, strict=True))]
+    return pd.DataFrame(rows, columns=["text", "unplaced"])
+
+
 def recheck(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, status) of findings after a rewrite: still_finding where the rule matches again, resolved where not, and
     waiting where nothing was evaluated."""

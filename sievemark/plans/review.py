@@ -61,11 +61,20 @@ def profile_match(spark, sf_dir):
 
 @query("""select doc_id, replace(replace(text, 'the', 'THE'), ' of ', ' OF ') as fixed from documents""")
 def composed_text(spark, sf_dir):
-    """STR-21."""
+    """Every place of literal pairs; placed_changes is STR-21."""
     changes = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in (("the", "THE"), (" of ", " OF "), ("", "x"))])
     return table(spark, sf_dir, "documents").select("doc_id", W.composed(F.col("text"), changes).alias("fixed"))
 
 
+@query("""select doc_id, regexp_replace(regexp_replace(text, 'the', 'THE'), 'de[ \\n\\t]+la', 'DE LA') as fixed,
+concat_ws(',', case when not coalesce(contains(text, 'the'), false) then '0' end, case when not coalesce(regexp_matches(text, 'de[ \\n\\t]+la'), false) then '1' end, '2') as unplaced from documents""")
+def placed_changes(spark, sf_dir):
+    """STR-21: each change at its first free spot, whatever the white space; overlaps are held by a unit test."""
+    changes = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in (("the", "THE"), ("de  la", "DE LA"), (" ", "x"))])
+    docs = table(spark, sf_dir, "documents").select("doc_id", W.placed(F.col("text"), changes).alias("p"))
+    return docs.select("doc_id", F.col("p.text").alias("fixed"), F.array_join("p.unplaced", ",").alias("unplaced"))
+
+
 @query("""select d.doc_id, case when l.quality = 1 then 'still_finding' when l.quality = 0 then 'resolved' else 'waiting' end as status from documents d left join labels l using (doc_id)""")
 def rewrite_recheck(spark, sf_dir):
     """DOM-18."""

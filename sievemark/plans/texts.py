@@ -49,12 +49,10 @@ def trim_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.keep_end(t, 80).alias("tail"), T.keep_start(t, 80).alias("head"))
 
 
-@query("""select doc_id, trim(regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents
-where not regexp_matches(left(text, 60), '[ßñÑ]')""")
+@query("""select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents""")
 def slugs(spark, sf_dir):
-    """STR-03, 04."""
-    docs = table(spark, sf_dir, "documents").filter(~F.left("text", F.lit(60)).rlike("[ßñÑ]"))
-    return docs.select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
+    """STR-03, 04: of whole texts, marks removed by Unicode's decomposition."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(T.strip_marks(F.col("text"))).alias("slug"))
 
 
 @query("select doc_id, strip_accents(text) as plain from documents")
@@ -236,12 +234,14 @@ def site_presence(spark, sf_dir):
     return top.select("source", F.when(F.col("top") >= 0.7, "present").otherwise("missing").alias("outcome"), N.score(1 - F.col("top")).alias("score"))
 
 
-@query("""select source, count(*) filter (regexp_matches(text, '[A-Z]{4,}!!')) as hits,
-coalesce(string_agg(doc_id::varchar, ',' order by doc_id) filter (regexp_matches(text, '[A-Z]{4,}!!')), '') as docs from documents group by source""")
+@query("""with c as (select source, count(*) filter (regexp_matches(text, '[A-Z]{4,}!!')) as hits from documents group by source)
+select c.source, c.hits, d.doc_id from c left join documents d on c.source = d.source and regexp_matches(d.text, '[A-Z]{4,}!!')""")
 def site_signal(spark, sf_dir):
-    """AGG-08, AGG-22, FLT-12."""
+    """AGG-08, AGG-22, FLT-12: a row for each hit (one without a document where a source has none), so no source gathers all."""
+    docs = table(spark, sf_dir, "documents")
     hit = F.col("text").rlike("[A-Z]{4,}!!")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(hit).alias("hits"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("doc_id")))), ",").alias("docs"))
+    counts = docs.groupBy("source").agg(F.count_if(hit).alias("hits"))
+    return counts.join(docs.filter(hit).select("source", "doc_id"), "source", "left").select("source", "hits", "doc_id")
 
 
 CLAIMS = [("c1", "(?i)tion\\w*", "!!", "www"), ("c2", "ment\\w*", "\\?|\\*\\*", "###"), ("c3", "lich\\w*", ".", "!!")]

@@ -95,9 +95,9 @@ def html_links(spark, sf_dir):
 
 @query()
 def template_cluster(spark, sf_dir):
-    """DOM-07, GEN-08."""
+    """DOM-07, GEN-08: a host is a site."""
     shapes = P.parsed(pages(spark, sf_dir)).select(F.col("id"), "tokens")
-    site = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.element_at(F.split(U.host(F.col("url")), "\\."), -1).alias("site"))
+    site = pages(spark, sf_dir).select(F.col("page_id").alias("id"), U.host(F.col("url")).alias("site"))
     return M.clusters(shapes.join(site, "id"), "site", "id", "tokens").select("site", "id", "leader")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -9,10 +10,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Fixed values of HTML.
 BLOCK_TAGS = set("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = {"script", "style", "noscript", "template", "title"}
+MOST_DEPTH = 12  # levels of JSON-LD that are read
 REGIONS = {"nav": "navigation", "header": "chrome", "footer": "chrome", "aside": "chrome", "article": "main", "main": "main"}
 
 
@@ -108,13 +111,43 @@ def blocks(pages: DataFrame) -> DataFrame:
     return pages.select("id", F.posexplode("blocks").alias("ord", "b")).select("id", F.col("ord").cast("long").alias("ord"), "b.*")
 
 
+def objects(value, depth: int = 0) -> Iterator[dict]:
+    """The objects of a JSON value, outer ones first, at most MOST_DEPTH levels down."""
+    if depth > MOST_DEPTH:
+        return
+    if isinstance(value, dict):
+        yield value
+    for inner in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+        yield from objects(inner, depth + 1)
+
+
+def product_rows(bodies) -> list[dict]:
+    """Name, description and first currency of each product in JSON-LD bodies, wherever it stands (as in @graph)."""
+    text = lambda x: x if isinstance(x, str) else None
+    out = []
+    for body in bodies:
+        try:
+            found = [*objects(json.loads(body))]
+        except (ValueError, RecursionError):
+            continue
+        for node in found:
+            kinds = node.get("@type")
+            kinds = {re.split("[/#:]", k.strip().rstrip("/"))[-1] for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}
+            if "Product" in kinds:
+                money = (x.get("priceCurrency") for x in objects(node))
+                money = next((m.strip().upper() for m in money if isinstance(m, str) and re.fullmatch("[A-Za-z]{3}", m.strip())), None)
+                out.append({"name": text(node.get("name")), "description": text(node.get("description")), "currency": money})
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("name", "description", "currency")])))
+def _product_rows(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: product_rows([] if b is None else b))
+
+
 def products(pages: DataFrame) -> DataFrame:
-    """(id, name, description, currency) of JSON-LD products; invalid JSON is ignored."""
-    v = F.try_parse_json("raw")
-    rows = pages.select("id", F.explode("json_ld").alias("raw")).select("id", v.alias("v")).filter("v is not null")
-    get = lambda path: F.try_variant_get("v", path, "string")
-    rows = rows.filter(get("$['@type']") == "Product")
-    return rows.select("id", get("$.name").alias("name"), get("$.description").alias("description"), get("$.offers.priceCurrency").alias("currency"))
+    """(id, name, description, currency) of JSON-LD products, nested ones and those of several types too; invalid JSON is ignored."""
+    return pages.select("id", F.explode(_product_rows("json_ld")).alias("p")).select("id", "p.*")
 
 
 def recording(spark: SparkSession, index: str, bodies: str) -> DataFrame:
@@ -125,27 +158,43 @@ def recording(spark: SparkSession, index: str, bodies: str) -> DataFrame:
     return listed.join(files, "body", "left").select("url", F.when(F.col("html").isNull(), 404).otherwise(F.col("status")).alias("status"), "html")
 
 
-def robots(df: DataFrame, site: str = "site", body: str = "body", agent: str = "*") -> DataFrame:
-    """(site, allow, path, length) of the rules that hold for an agent; without a group of its own, those of *.
+def _robot_lines(df: DataFrame, site: str, body: str, agent: str) -> DataFrame:
+    """(site, pairs, lines): all lines of a robots.txt (k, v), and those (agent, k, v) of the groups that hold for an agent:
+    those that name it, even without a rule, else those of *.
 
-    A file's lines are folded in order within its row; a group is all agents named before its first rule.
+    A file's lines are folded in order within its row; a group is all agents named before its first line of another kind.
     """
     lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
     pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    rule = "struct<agent:string,allow:boolean,path:string>"
-    zero = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(True).alias("open"), F.array().cast(f"array<{rule}>").alias("rules"))
+    line = "struct<agent:string,k:string,v:string>"
+    zero = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(True).alias("open"), F.array().cast(f"array<{line}>").alias("lines"))
 
     def step(s: Column, p: Column) -> Column:
-        name = p["k"] == "user-agent"
-        is_rule = p["k"].isin("allow", "disallow") & (p["v"] != "")
-        added = F.transform(s["agents"], lambda a: F.struct(F.lower(a).alias("agent"), (p["k"] == "allow").alias("allow"), p["v"].alias("path")))
+        name, free = p["k"] == "user-agent", p["k"] == "sitemap"
+        added = F.transform(s["agents"], lambda a: F.struct(F.lower(a).alias("agent"), p["k"].alias("k"), p["v"].alias("v")))
         agents = F.when(name & s["open"], F.concat(s["agents"], F.array(p["v"]))).when(name, F.array(p["v"])).otherwise(s["agents"])
-        return F.struct(agents.alias("agents"), name.alias("open"), F.when(is_rule, F.concat(s["rules"], added)).otherwise(s["rules"]).alias("rules"))
+        kept = F.when(name | free, s["lines"]).otherwise(F.concat(s["lines"], added))
+        return F.struct(agents.alias("agents"), F.when(free, s["open"]).otherwise(name).alias("open"), kept.alias("lines"))
+
+    folded = df.select(site, pairs.alias("pairs")).select(site, "pairs", F.aggregate("pairs", zero, step)["lines"].alias("lines"))
+    own = F.filter("lines", lambda r: r["agent"] == agent.lower())
+    chosen = F.when(F.size(own) > 0, own).otherwise(F.filter("lines", lambda r: r["agent"] == "*"))
+    return folded.select(site, "pairs", chosen.alias("lines"))
+
 
-    rules = df.select(site, F.aggregate(pairs, zero, step)["rules"].alias("rules"))
-    own = F.filter("rules", lambda r: r["agent"] == agent.lower())
-    chosen = F.when(F.size(own) > 0, own).otherwise(F.filter("rules", lambda r: r["agent"] == "*"))
-    return rules.select(site, F.explode(chosen).alias("r")).select(site, "r.allow", "r.path", F.length("r.path").alias("length"))
+def robots(df: DataFrame, site: str = "site", body: str = "body", agent: str = "*") -> DataFrame:
+    """(site, allow, path, length) of the rules that hold for an agent; without a group of its own, those of *."""
+    rules = _robot_lines(df, site, body, agent).select(site, F.explode("lines").alias("r"))
+    rules = rules.filter("r.k in ('allow', 'disallow') and r.v != ''")
+    return rules.select(site, (F.col("r.k") == "allow").alias("allow"), F.col("r.v").alias("path"), F.length("r.v").alias("length"))
+
+
+def robots_facts(df: DataFrame, site: str = "site", body: str = "body", agent: str = "*") -> DataFrame:
+    """(site, sitemaps, delay): the sitemaps that a robots.txt names, in order, and an agent's longest crawl delay in seconds."""
+    maps = F.transform(F.filter("pairs", lambda p: (p["k"] == "sitemap") & (p["v"] != "")), lambda p: p["v"])
+    delays = F.transform(F.filter("lines", lambda r: r["k"] == "crawl-delay"), lambda r: r["v"].try_cast("double"))
+    delay = F.array_max(F.filter(delays, lambda d: d >= 0))
+    return _robot_lines(df, site, body, agent).select(site, maps.alias("sitemaps"), delay.alias("delay"))
 
 
 def path_pattern(path: Column) -> Column:
@@ -172,9 +221,15 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("loc", F.to_date(F.left("lastmod", F.lit(10))).alias("lastmod"), links.alias("alternates"))
 
 
+def sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(loc, lastmod) of the sitemaps that index files name; a file of another kind gives none."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod string").load(path)
+    return rows.select("loc", F.to_date(F.left("lastmod", F.lit(10))).alias("lastmod"))
+
+
 def is_html(media_type: Column, body: Column) -> Column:
     head = F.lower(F.left(body, F.lit(1024)))
     return F.coalesce(F.contains(F.lower(media_type), F.lit("html")), F.lit(False)) | F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<!doctype html"))
 
 
-__all__ = ["allowed", "blocks", "is_html", "parsed", "path_pattern", "products", "recording", "robots", "sitemap"]
+__all__ = ["allowed", "blocks", "is_html", "parsed", "path_pattern", "products", "recording", "robots", "robots_facts", "sitemap", "sitemap_index"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import numbers as N
 from sievemark.functions import text as T
-from sievemark.operators import pricing, rules, segments, templates, versions, work_queue
+from sievemark.operators import pricing, rules, segments, templates, versions, work_queue, workflow
 from sievemark.sources import pages, tables
 from sievemark.streaming import rates
 
@@ -114,6 +114,41 @@ def test_html(spark):
     assert [tuple(r) for r in pages.products(parsed).collect()] == [(1, "N", None, "EUR")]
 
 
+def test_nested_products(spark):
+    graph = '{"@graph":[{"@type":["Thing","https://schema.org/Product"],"name":"A","offers":[{"priceCurrency":" czk"}],"isRelatedTo":{"@type":"Product","name":5}}]}'
+    deep = "[" * 20 + '{"@type":"Product"}' + "]" * 20
+    df = spark.createDataFrame([(1, [graph, "{bad", deep]), (2, []), (3, None)], "id long, json_ld array<string>")
+    assert sorted(map(tuple, pages.products(df).collect()), key=str) == [(1, "A", None, "CZK"), (1, None, None, None)]
+
+
+def test_robots_facts_and_index(spark, tmp_path):
+    body = "User-agent: a\nSitemap: http://s/1\nUser-agent: b\nCrawl-delay: 2\nCrawl-delay: x\nDisallow:\n\nUser-agent: *\nCrawl-delay: 9\nDisallow: /\nSitemap: http://s/2"
+    df = spark.createDataFrame([("s", body), ("t", "")], "site string, body string")
+    got = {r.site: (r.sitemaps, r.delay) for r in pages.robots_facts(df, agent="A").collect()}
+    assert got == {"s": (["http://s/1", "http://s/2"], 2.0), "t": ([], None)}
+    assert {r.site: r.delay for r in pages.robots_facts(df, agent="c").collect()} == {"s": 9.0, "t": None}
+    assert pages.robots(df, agent="b").count() == 0 and [r.path for r in pages.robots(df, agent="c").collect()] == ["/"]
+    (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc>http://s/m</loc><lastmod>2024-01-02</lastmod></sitemap></sitemapindex>")
+    assert [tuple(r) for r in pages.sitemap_index(spark, str(tmp_path / "i.xml")).collect()] == [("http://s/m", dt.date(2024, 1, 2))]
+
+
+def test_changes_are_placed_apart():
+    change = lambda old, new: {"old": old, "new": new}
+    text = "best soap ever, best\n soap of all"
+    assert workflow.place(text, [change("best soap", "soap"), change("best soap", "it")]) == ("soap ever, it of all", [])
+    assert workflow.place(text, [change("soap ever", "x"), change("best  soap", "y"), change("ever,", "z"), change(" ", "w"), change(None, "v")]) == ("best x, y of all", [2, 3, 4])
+    assert workflow.place("", [change("a", "b")]) == ("", [0])
+
+
+def test_sentence_rules():
+    cases = {
+        "Dr. Novak came. He left.": ["Dr. Novak came.", "He left."], "Pears, plums etc. The rest": ["Pears, plums etc.", "The rest"],
+        "Soap Inc. of Brno": ["Soap Inc. of Brno"], "On 27. 9. 2026. Then": ["On 27. 9. 2026.", "Then"], "3. Payment is due. 4. End": ["3. Payment is due.", "4. End"],
+        "In 2010. It began": ["In 2010.", "It began"], "Wait... no! Yes": ["Wait... no!", "Yes"], "": [],
+    }
+    assert {t: T.sentence_list(t) for t in cases} == cases
+
+
 def test_clusters_follow_order(spark):
     rows = [("s", i, t) for i, t in enumerate([["a", "b", "c", "d"], ["a", "b", "c"], ["x"], ["a", "b"], ["x"], ["a", "b", "c", "d"]])]
     df = spark.createDataFrame(rows, "site string, id long, tokens array<string>")
