@@ -12,6 +12,7 @@ from . import (
     neighbours,
     ngram_join,
     quality,
+    quality_rules,
     secrets,
     toxicity,
     wordpiece,
@@ -29,5 +30,9 @@ QUERIES = {
     "op8_extraction": extraction.query,
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
+    "op11_quality_rules": quality_rules.query,
+}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op11_quality_rules": quality_rules.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
