@@ -11,6 +11,7 @@ from . import (
     line_dedup,
     neighbours,
     ngram_join,
+    periodic_runs,
     quality,
     quality_rules,
     secrets,
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
     "op11_quality_rules": quality_rules.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,

@@ -37,7 +37,7 @@ def test_measurements(spark):
         base = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
         assert r.base_failed == base and not (base and r.kept)
     kept = {r.doc_id for r in got if r.kept}
-    assert {7, 14} <= kept and not kept & {8, 11, 13}
+    assert {7, 8, 14} <= kept and not kept & {11, 13}  # all upper case alone is one soft failure
     assert rules.ledger(df.limit(0)).count() == 0
 
 
