@@ -8,6 +8,7 @@ from . import (
     bpe,
     decontamination,
     extraction,
+    fill_in_middle,
     line_dedup,
     neighbours,
     ngram_join,
@@ -32,9 +33,11 @@ QUERIES = {
     "op9_decontamination": decontamination.query,
     "op10_ngram_join": ngram_join.query,
     "op11_quality_rules": quality_rules.query,
+    "op12_fill_in_middle": fill_in_middle.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op11_quality_rules": quality_rules.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
