@@ -8,7 +8,7 @@ another id: it is proven a copy, and near-duplicate removal takes it (`copy` mar
 
 A line is what stands between line breaks, without spaces, tabs and carriage returns around it; lines under `min_chars`
 characters (empty ones, by default) are never boilerplate. Defined results: a null text is empty, and an empty one has one empty line;
-a null site counts as none; repeated rows get equal results; only the named columns are read; an empty
+a null site counts as none; rows with a null id are cleaned like others; repeated rows get equal results; only the named columns are read; an empty
 table gives an empty result. Texts are taken whole.
 """
 
@@ -77,7 +77,9 @@ def dedup(
     else:
         twice = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
         own = own.join(twice.select("key", F.lit(True).alias("twice")), "key", "left")
-    joined = docs.withColumn("key", F.xxhash64("text")).join(own, ["id", "key"], "left")
+    own = own.withColumnsRenamed({"id": "own_id", "key": "own_key"})
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    joined = docs.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
     parts = F.split("text", "\n")
     is_removed = lambda x: F.coalesce(
         (F.length(trimmed(x)) >= min_chars) & F.array_contains("removed", F.struct(F.xxhash64(trimmed(x)).alias("h1"), F.xxhash64(F.lit(1), trimmed(x)).alias("h2"))), F.lit(False)

@@ -51,3 +51,11 @@ def test_spread_near_and_far_from_the_threshold(spark):
     rows = [(h, h, f"site{s}") for h, n in enumerate([1, 7, 8, 9, 10, 11, 12, 13, 40, 3000]) for s in range(n)]
     lines = spark.createDataFrame(rows * 2, "h1 long, h2 long, site string")
     assert sorted(r.h1 for r in line_dedup.boilerplate(lines, 10).collect()) == [4, 5, 6, 7, 8, 9]
+
+
+def test_rows_with_a_null_id_lose_their_boilerplate(spark):
+    docs = [(i if i else None, f"one line for all sites\nown {i}", f"s{i}") for i in range(12)]
+    df = spark.createDataFrame(docs + [docs[0]], "doc_id long, text string, source string")
+    for share in (None, 0.9):
+        got = line_dedup.dedup(df, max_share=share).collect()
+        assert sorted(r.text for r in got) == sorted(["own 0", *(f"own {i}" for i in range(12))]) and {r.n_removed for r in got} == {1}
