@@ -165,20 +165,55 @@ def merged_same_text(judged: DataFrame, text: str, url: str) -> DataFrame:
     )
 
 
+#: Sizes of a text's head by which a text that it begins with is looked for: each for lengths up to the next.
+HEADS = (1, 4, 16, 64)
+
+
+def contained(outer: DataFrame, inner: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, outer, inner), as digests, of the texts of inner that stand in one of outer with at most `most` further characters.
+
+    outer, inner: (group, text), distinct. Only hashes are joined: places of outer where a text of inner may begin, by its
+    head; then the stretches from there, whole. A row meets one text at most, so no group is a hot key.
+    """
+    parts = inner.filter("text != ''").select(group, F.length("text").alias("n"), "text")
+    ends = (*HEADS[1:], 1 << 31)
+    size = F.lit(HEADS[0])
+    for k in HEADS[1:]:
+        size = F.when(F.col("n") >= k, k).otherwise(size)
+    heads = parts.withColumn("k", size)
+    heads = heads.select(group, "k", F.md5(F.expr("left(text, k)").cast("binary")).alias("head")).distinct()
+    whole = outer.select(group, digest(F.col("text")).alias("outer"), F.length("text").alias("n"), "text")
+    at = whole.select(group, "outer", "n", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n") - 1))).alias("at")).filter("n > 0")
+    ks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e - 1).alias("upto")) for k, e in zip(HEADS, ends, strict=True)]))
+    at = at.select("*", ks.alias("h")).filter(F.expr(f"h.k <= n - at and h.upto >= n - {most}"))
+    at = at.select(group, "outer", "at", "h.k", "h.upto", F.md5(F.expr("substring(text, at + 1, h.k)").cast("binary")).alias("head"))
+    at = at.join(heads, [group, "k", "head"], "left_semi").join(whole, [group, "outer"])
+    span = F.explode(F.expr(f"sequence(greatest(k, n - {most}), least(upto, n - at))"))
+    stretch = at.filter(F.expr(f"greatest(k, n - {most}) <= least(upto, n - at)")).select(group, "outer", "at", "text", span.alias("length"))
+    stretch = stretch.select(group, "outer", F.md5(F.expr("substring(text, at + 1, length)").cast("binary")).alias("inner"))
+    return stretch.distinct().join(parts.select(group, digest(F.col("text")).alias("inner")), [group, "inner"], "left_semi")
+
+
+def digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
 def without_repeated(found: DataFrame, key: str, most: int = 40, jurisdictions: str | None = None) -> DataFrame:
-    """Findings but those of secondary sources that a primary one of the same rule and URL contains.
+    """Findings but those of secondary sources that repeat a primary one of the same rule and URL in somewhat longer words.
 
-    found: key, rule_id, url (one, or an array of them), text, source ('primary' or 'secondary'). A contained text goes
-    where the other has at most `most` further characters and, if a column of `jurisdictions` (arrays) is named, all of its
-    own. The join is on rule and URL; the containment is checked on those pairs.
+    found: key, rule_id, url (one, or an array of them), text, source ('primary' or 'secondary'). A secondary finding goes
+    where its text contains the other's, with at most `most` further characters, and, if a column of `jurisdictions`
+    (arrays) is named, the other has all of its own. Texts are compared without case and as to white space and invisible
+    characters; an empty one repeats nothing.
     """
-    covered = F.coalesce(jurisdictions or F.lit(None), F.array().cast("array<string>"))
+    covered = F.array_sort(F.array_distinct(F.coalesce(jurisdictions or F.lit(None), F.array().cast("array<string>"))))
     urls = F.explode("url") if found.schema["url"].dataType.typeName() == "array" else F.col("url")
-    each = found.select(key, "rule_id", urls.alias("url"), "text", "source", covered.alias("jur"))
-    main = each.filter("source = 'primary'").select("rule_id", "url", F.col("text").alias("whole"), F.col("jur").alias("over"))
-    small = each.filter("source = 'secondary'")
-    close = F.contains("whole", "text") & (F.length("whole") - F.length("text") <= most)
-    if jurisdictions:
-        close &= F.size(F.array_except("jur", "over")) == 0
-    gone = small.join(main, ["rule_id", "url"]).filter(close).select(key).distinct()
+    each = found.select(key, "rule_id", urls.alias("url"), T.normalized(F.col("text")).alias("text"), "source", covered.alias("jur"))
+    main, small = each.filter("source = 'primary'"), each.filter("source = 'secondary'")
+    pairs = contained(*[x.select("rule_id", "text").distinct() for x in (small, main)], "rule_id", most)
+    over = main.select("rule_id", "url", digest(F.col("text")).alias("inner"), F.col("jur").alias("over")).distinct()
+    own = small.select(key, "rule_id", "url", digest(F.col("text")).alias("outer"), "jur")
+    asked = own.select("rule_id", "url", "outer", "jur").distinct().join(pairs, ["rule_id", "outer"]).join(over, ["rule_id", "url", "inner"])
+    asked = asked.filter(F.size(F.array_except("jur", "over")) == 0).select("rule_id", "url", "outer", "jur").distinct()
+    gone = own.join(asked, ["rule_id", "url", "outer", "jur"], "left_semi").select(key).distinct()
     return found.join(gone, key, "left_anti")

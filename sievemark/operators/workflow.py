@@ -24,15 +24,6 @@ def request_parts(asked: DataFrame, segment: str, question: str, definition: str
     return parts.groupBy(segment, "part").agg(F.array_sort(F.collect_set(question)).alias("questions"))
 
 
-def verified_quotes(quotes: DataFrame, pages: DataFrame, normal) -> DataFrame:
-    """(id, page, moved): quotes (id, site, page, quote) that stand on their page, or else on the site's first page that
-    holds them. A quote is compared with the pages of its site only."""
-    body = pages.select("site", F.col("page").alias("found"), normal(F.col("text")).alias("body"))
-    hits = quotes.join(body, "site").filter(F.contains("body", normal(F.col("quote"))))
-    best = hits.groupBy("id").agg(F.min(F.struct((F.col("found") != F.col("page")).alias("moved"), F.col("found").alias("page"))).alias("b"))
-    return best.select("id", "b.page", "b.moved")
-
-
 def best_profile(pages: DataFrame, profiles: DataFrame, key: str, tokens: str, most: float = 0.1) -> DataFrame:
     """(key, profile, share): the profile that leaves the least share of a page's tokens unknown, if it is at most `most`.
 

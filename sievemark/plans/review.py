@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import phrases as H
 from ..operators import pricing as P
 from ..operators import segments as S
 from ..operators import workflow as W
@@ -44,7 +45,7 @@ def quote_verification(spark, sf_dir):
     """JOIN-16, STR-18."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("site"), F.col("item_id").alias("page"), F.col("text").alias("quote"))
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("site"), F.col("doc_id").alias("page"), "text")
-    return W.verified_quotes(q, d, lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))))
+    return H.verified_quotes(q, d, lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))))
 
 
 @query("""with t as (select doc_id, list_distinct(string_split(text, ' ')) as w from documents),

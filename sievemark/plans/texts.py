@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import phrases as H
 from ..operators import rules as R
 from ..operators import segments as S
 from .registry import query, table
@@ -207,22 +208,25 @@ def merge_same_text(spark, sf_dir):
     return out.withColumn("strictness", F.col("strictness").cast("long"))
 
 
-SUPPRESS = f"""{SENTENCES}, f as (select doc_id * 100000 + pos as id, 'R' || (doc_id % 3) as rule_id, source || (doc_id % 5) as url,
- sentence as text, case when pos % 2 = 0 then 'primary' else 'secondary' end as source_kind from sent)"""
+SUPPRESS = f"""{SENTENCES}, f as (select doc_id * 100000 + pos as id, 'R' || (doc_id % 3) as rule_id, 'source' || (doc_id % 5) as url,
+ {NORM.format('sentence')} as text, case when pos % 2 = 0 then 'primary' else 'secondary' end as source_kind,
+ case when doc_id % 2 = 0 then ['CZ'] else ['CZ', 'SK'] end as jur from sent),
+p as (select distinct rule_id, url, text, jur from f where source_kind = 'primary' and text <> '')"""
 
 
-@query(f"""with {SUPPRESS}, gone as (select distinct s.id from f s join f p on s.rule_id = p.rule_id and s.url = p.url
-where s.source_kind = 'secondary' and p.source_kind = 'primary' and contains(p.text, s.text) and length(p.text) - length(s.text) <= 40)
+@query(f"""with {SUPPRESS}, gone as (select distinct s.id from f s join p on s.rule_id = p.rule_id and s.url = p.url and len(list_filter(s.jur, lambda x: not list_contains(p.jur, x))) = 0
+where s.source_kind = 'secondary' and length(s.text) - length(p.text) between 0 and 40 and contains(s.text, p.text))
 select id, rule_id, source_kind from f where id not in (select id from gone)""")
 def suppress_repeated(spark, sf_dir):
     """JOIN-09, JOIN-06."""
     odd = F.col("pos") % 2 == 1
     found = sentence_table(spark, sf_dir).select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.concat(F.lit("R"), F.col("doc_id") % 3).alias("rule_id"),
-        F.concat("source", F.col("doc_id") % 5).alias("url"), F.col("sentence").alias("text"),
+        F.concat(F.lit("source"), F.col("doc_id") % 5).alias("url"), F.col("sentence").alias("text"),
         F.when(odd, "secondary").otherwise("primary").alias("source"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("CZ"))).otherwise(F.array(F.lit("CZ"), F.lit("SK"))).alias("jur"),
     )
-    return R.without_repeated(found, "id").select("id", "rule_id", F.col("source").alias("source_kind"))
+    return R.without_repeated(found, "id", jurisdictions="jur").select("id", "rule_id", F.col("source").alias("source_kind"))
 
 
 @query(f"""with {SCORED}, b as (select source, max(p) as top from ans join documents using (doc_id) where question = 'shouts' group by source)
@@ -258,12 +262,30 @@ def rule_claim_list(spark, sf_dir):
 
 @query("""select b.item_id, count(d.doc_id) as pages from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id""")
 def rule_allowlist_page(spark, sf_dir):
-    """FLT-10: pages that hold a listed phrase; the list is bounded (checked) and goes to every task."""
+    """FLT-10: pages that hold a listed phrase."""
     phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    if phrases.limit(100_001).count() > 100_000:
-        raise ValueError("a phrase list holds at most 100,000 phrases")
-    hits = table(spark, sf_dir, "documents").join(F.broadcast(phrases), F.contains("text", "phrase")).groupBy("item_id").agg(F.count("*").alias("n"))
-    return phrases.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("pages"))
+    hits = H.occurrences(table(spark, sf_dir, "documents"), ["doc_id"], "text", phrases, "phrase").groupBy("phrase").agg(F.count("*").alias("n"))
+    return phrases.join(hits, "phrase", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("pages"))
+
+
+@query(f"""with d as (select doc_id, 'doc/' || doc_id as url, {NORM.format("coalesce(text, '')")} as body from documents),
+ph as (select 'L' || (item_id % 2) as list, {NORM.format('text')} as phrase from benchmark),
+f as (select doc_id // 10 as id, list(url order by doc_id) as urls, min(doc_id) as head from d group by id),
+k as (select id, 'L' || (id % 2) as list, case when id % 3 = 0 then 'segment' else 'page' end as scope, urls, body as text from f join d on d.doc_id = f.head),
+e as (select id, list, scope, text, unnest(urls) as url from k),
+c as (select e.id, e.url, d.doc_id, not exists (select 1 from ph where ph.list = e.list and contains(case when scope = 'page' then d.body else e.text end, ph.phrase)) as stays from e join d using (url)),
+r as (select id, string_agg(url, ',' order by doc_id) filter (stays) as urls from c group by id)
+select id, coalesce(urls, '') as urls, urls is null as excluded from r""")
+def allowlist_urls(spark, sf_dir):
+    """FLT-10: listed phrases take URLs from a finding, by page or by the finding's own text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("url"), F.coalesce("text", F.lit("")).alias("text"))
+    phrases = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("L"), F.col("item_id") % 2).alias("list"), F.col("text").alias("phrase"))
+    ten = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "url"))).alias("d"), F.min_by("text", "doc_id").alias("text"))
+    found = ten.select(
+        "id", F.concat(F.lit("L"), F.col("id") % 2).alias("list"), F.when(F.col("id") % 3 == 0, "segment").otherwise("page").alias("scope"),
+        F.transform("d", lambda x: x["url"]).alias("urls"), "text",
+    )
+    return H.without_listed(found, "id", docs, phrases, T.normalized).select("id", F.array_join("urls", ",").alias("urls"), "excluded")
 
 
 @query("""select lang, sum(n_chars)::bigint as chars, ceil(sum(n_chars) / 2.6::double)::bigint as tokens,

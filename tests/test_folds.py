@@ -197,9 +197,9 @@ def test_streams(spark, tmp_path):
 
 def test_repeated_only_where_jurisdictions_are_covered(spark):
     rows = [
-        (1, "R", ["a", "b"], "vegan soap for all", "primary", ["CZ", "SK"]), (2, "R", ["b", "c"], "vegan soap", "secondary", ["CZ"]),
-        (3, "R", ["a"], "vegan soap", "secondary", ["CZ", "DE"]), (4, "R", ["c"], "vegan soap", "secondary", ["CZ"]),
-        (5, "R", ["a"], "vegan soap for all", "primary", ["DE"]), (6, "R", ["a"], "vegan soap", "secondary", []),
+        (1, "R", ["a", "b"], "vegan soap", "primary", ["CZ", "SK"]), (2, "R", ["b", "c"], "vegan soap for all", "secondary", ["CZ"]),
+        (3, "R", ["a"], "vegan soap for all", "secondary", ["CZ", "DE"]), (4, "R", ["c"], "vegan soap for all", "secondary", ["CZ"]),
+        (5, "R", ["a"], "vegan soap", "primary", ["DE"]), (6, "R", ["a"], "vegan soap for all", "secondary", []),
     ]
     found = spark.createDataFrame(rows, "id long, rule_id string, url array<string>, text string, source string, jur array<string>")
     out = rules.without_repeated(found, "id", jurisdictions="jur")
