@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import claims as K
 from ..operators import phrases as H
 from ..operators import rules as R
 from ..operators import segments as S
@@ -260,6 +261,33 @@ def rule_claim_list(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(hits).alias("id"), "doc_id")
 
 
+MACROS = r"""
+macros: {abs_en: '(?:the|of)', abs_es: '(?:de|la)', gap: '(?:with\s+)?'}
+categories: {ends: {en: 'ing\b', es: 'ado'}, shouts: {en: '!!', es: '!!'}}
+claims:
+  - {id: words, outcome: text, outcome_es: verify, category: ends, subst: 'th\w+', subst_es: 'que\b|las'}
+  - {id: english, outcome: verify, category: ends, category_exclude: '!!', subst: 'qqq', adj: 'in', en: 'is|her', extra: 'ringing'}
+  - {id: own, outcome: none, category: shouts, claim_en: '(?i)tion', claim_es: '(?i)mente'}
+"""
+CLAIM_SQL = r"""
+('words', 'en', '(?i)(?:\b(?:the|of)\s+(?:with\s+)?(?:th\w+)|\b0\s*%\s*(?:th\w+))', 'ing\b', null, 'text'),
+('words', 'es', '(?i)(?:(?:^|[^\p{L}\p{N}_])(?:de|la)\s+(?:with\s+)?(?:que(?:$|[^\p{L}\p{N}_])|las)|\b0\s*%\s*(?:que\b|las))', 'ado', null, 'verify'),
+('english', 'en', '(?i)(?:\b(?:the|of)\s+(?:with\s+)?(?:qqq)|\bbez-?(?:in)|\b(?:is|her)\s*-?\s*free\b|\bfree\s+(?:from|of)\s+(?:is|her)|\b0\s*%\s*(?:qqq)|ringing)', 'ing\b', '!!', 'verify'),
+('english', 'es', '(?i)(?:\b(?:de|la)\s+(?:with\s+)?(?:qqq)|\bbez-?(?:in)|\b(?:is|her)\s*-?\s*free\b|\bfree\s+(?:from|of)\s+(?:is|her)|\b0\s*%\s*(?:qqq)|ringing)', 'ado', '!!', 'verify'),
+('own', 'en', '(?i)tion', '!!', null, 'none'), ('own', 'es', '(?i)mente', '!!', null, 'none')"""
+
+
+@query(f"""with c(claim, country, re, category, exclude, outcome) as (values {CLAIM_SQL})
+select doc_id, claim, outcome from documents d join c on d.lang = c.country where regexp_matches(text, re) and regexp_matches(text, category)
+and (exclude is null or not regexp_matches(text, exclude))""")
+def claim_macros(spark, sf_dir):
+    """SRC-08, FLT-11: expressions of each claim and country from the macros of a document."""
+    rows, faults = K.claim_rows(MACROS)
+    if faults:
+        raise ValueError("; ".join(faults))
+    return K.claim_hits(table(spark, sf_dir, "documents"), ["doc_id"], "text", "lang", rows)
+
+
 @query("""select b.item_id, count(d.doc_id) as pages from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id""")
 def rule_allowlist_page(spark, sf_dir):
     """FLT-10: pages that hold a listed phrase."""

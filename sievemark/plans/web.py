@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import scopes as O
 from ..operators import templates as M
 from ..sources import pages as P
 from .registry import query, table
@@ -25,6 +26,30 @@ def url_parts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.host(u).alias("host"), U.part(F.regexp_replace(u, "#.*$", ""), "PATH").alias("path"), U.extension(u).alias("ext"))
 
 
+QUERY = "regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1)"
+
+
+@query(f"""with u as (select page_id, {HOST} as host, lower({PATH}) as path, lower(regexp_extract({PATH}, '^/([^/]+)', 1)) as top, string_split(lower({QUERY}), '&') as q from pages),
+s as (select distinct host, top from u where top <> '')
+select page_id, u.host || '/' || top as scope from u join s using (host, top) where case top
+when 'en' then not regexp_matches(path, '^/en/[1-4][0-9]{{2}}(/|$)') when 'fr' then list_contains(q, 'page=2')
+else len(list_filter(q, lambda x: x like 'utm_source=%' or x = 'ref=x')) = 0 end""")
+def crawl_scope(spark, sf_dir):
+    """FLT-03: scopes by host and first part of the path; some exclude paths, some require or ban parts of the query."""
+    p = pages(spark, sf_dir)
+    top = F.regexp_extract(U.part(F.regexp_replace("url", "#.*$", ""), "PATH"), "^/([^/]+)", 1)
+    roots = p.select(U.host(F.col("url")).alias("host"), F.lower(top).alias("top")).filter("top != ''").distinct()
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"))
+    listed = [F.lit(f"/en/{n}/") for n in range(100, 500)]
+    scopes = roots.select(
+        F.concat_ws("/", "host", "top").alias("scope"), "host", F.lit(None).cast("int").alias("port"), F.concat(F.lit("/"), "top", F.lit("/")).alias("base"),
+        F.when(F.col("top") == "en", F.array(*listed)).alias("excluded"),
+        F.when(F.col("top") == "fr", F.array(pair("page", "2"))).alias("required"),
+        F.when(~F.col("top").isin("en", "fr"), F.array(pair("utm_source", O.ANY), pair("ref", "x"))).alias("banned"),
+    )
+    return O.in_scope(p, "page_id", "url", scopes)
+
+
 STRIP = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(ref|utm_source)=[^&]*', '\\1', 'g'), '[?&]+$', ''), '\\?&+', '?')"""
 
 
