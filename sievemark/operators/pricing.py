@@ -22,9 +22,10 @@ def tier(df: DataFrame, count: str, tiers: DataFrame) -> DataFrame:
 
 
 def as_of(df: DataFrame, key: str, steps: DataFrame, at: str, value: str) -> DataFrame:
-    """Add `value` of the last step with at <= key (null: none). The steps become one sorted array in each row."""
+    """Add `value` of the last step with at <= key (null: none). The steps, checked to be few, become one sorted array in each row."""
+    small(steps)
     rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))))
-    table = small(steps.agg(rows.alias("steps")))
+    table = F.broadcast(steps.agg(rows.alias("steps")))
     found = F.try_element_at(F.filter("steps", lambda s: s["at"] <= F.col(key)), F.lit(-1))
     return df.join(table).withColumn(value, found["v"]).drop("steps")
 
@@ -32,7 +33,7 @@ def as_of(df: DataFrame, key: str, steps: DataFrame, at: str, value: str) -> Dat
 def tier_faults(tiers: DataFrame) -> DataFrame:
     """Gaps and overlaps between tiers in order of low."""
     w = Window.partitionBy(F.lit(1)).orderBy("low")  # a price list: bounded by small()
-    n = tiers.withColumn("next", F.lead("low").over(w))
+    n = small(tiers).withColumn("next", F.lead("low").over(w))
     fault = F.when(F.col("next") > F.col("high") + 1, "gap").when((F.col("next") <= F.col("high")) | F.col("high").isNull(), "overlap")
     return n.filter("next is not null").withColumn("fault", fault).filter("fault is not null").select("code", "fault")
 

@@ -166,12 +166,15 @@ def work_items(spark, sf_dir):
     return named.select("key", "title", "n", "rank").unionByName(whole)
 
 
-@query("""select o_orderkey, p.id from orders left join (select k, min(id) as id from (
-select o_orderkey as ok, 0 as i, l_partkey as id from orders join lineitem on l_orderkey = o_orderkey and l_linenumber = 1) x, lateral (select ok as k) group by k) p on p.k = o_orderkey""")
+@query("""with li as (select case when l_quantity > 25 then l_orderkey end as own, l_orderkey + 1 as next, l_partkey as id from lineitem where l_linenumber = 1),
+x as (select o_orderkey, 0 as i, id from orders join li on own = o_orderkey union all select o_orderkey, 1, id from orders join li on next = o_orderkey),
+b as (select o_orderkey, min((i, id)) as b from x group by o_orderkey)
+select o_orderkey, b[2] as id from orders left join b using (o_orderkey)""")
 def first_match(spark, sf_dir):
-    """JOIN-18, JOIN-02: any of two keys, by a union of equi joins."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * -1).alias("other"))
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_orderkey").alias("other"), F.col("l_partkey").alias("id"))
+    """JOIN-18, JOIN-02: any of two keys, by a union of equi joins; the neighbour's part where the order's own is no large one."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("other"))
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    li = li.select(F.when(F.col("l_quantity") > 25, F.col("l_orderkey")).alias("o_orderkey"), (F.col("l_orderkey") + 1).alias("other"), F.col("l_partkey").alias("id"))
     return P.first_of_keys(o, li, ["o_orderkey", "other"], "id", "o_orderkey").select("o_orderkey", "id")
 
 

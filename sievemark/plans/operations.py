@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..operators import versions as V
 from ..operators import work_queue as Q
+from ..operators.ranks import ranked
 from .registry import query, table
 
 K = "cast(json_extract_string(props, '$.k') as int)"
@@ -198,8 +199,9 @@ def event_json(spark, sf_dir):
 @query("""select lower(event_type) || coalesce(nullif('-' || rn, '-1'), '') as name, event_id from (select *, row_number() over (partition by lower(event_type) order by event_id) as rn from events)""")
 def unique_names(spark, sf_dir):
     """SNK-14: unique names by a running number."""
-    rn = F.row_number().over(Window.partitionBy(F.lower("event_type")).orderBy("event_id"))
-    return events(spark, sf_dir).select(F.concat(F.lower("event_type"), F.when(rn > 1, F.concat(F.lit("-"), rn)).otherwise("")).alias("name"), "event_id")
+    named = events(spark, sf_dir).select(F.lower("event_type").alias("kind"), "event_id")
+    n = F.col("n")
+    return ranked(named, ["kind"], ["event_id"], "n").select(F.concat("kind", F.when(n > 1, F.concat(F.lit("-"), n)).otherwise("")).alias("name"), "event_id")
 
 
 @query("""select event_id, timezone('Europe/Prague', timezone('UTC', ts))::date as local_day from events""")
@@ -219,13 +221,7 @@ def seeded_sample(spark, sf_dir):
 @query(f"""with x as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as round from events)
 select event_id, round::bigint as round, (row_number() over (order by round, user_id) - 1) // 100 as batch from x where round <= 2""")
 def interleaved(spark, sf_dir):
-    """GEN-10, GEN-12: one of each key in turn; the number of a batch is a global rank, done over ranges without one task."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = events(spark, sf_dir).select("user_id", "event_id", F.row_number().over(w).cast("long").alias("round")).filter("round <= 2")
-    per = x.groupBy("round", "user_id").agg(F.first("event_id").alias("event_id"))
-    rank = per.select("round", "user_id", "event_id")
-    before = F.row_number().over(Window.partitionBy("round").orderBy("user_id")).cast("long")
-    sizes = rank.groupBy("round").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = rank.withColumn("at", before).join(F.broadcast(base.select("round", "base")), "round")
-    return placed.select("event_id", "round", F.floor((F.col("base") + F.col("at") - 1) / 100).cast("long").alias("batch"))
+    """GEN-10, GEN-12: one of each key in turn, in batches by the place among all; both numbers are ranks by ranges."""
+    turns = ranked(events(spark, sf_dir).select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], "round").filter("round <= 2")
+    placed = ranked(turns, [], ["round", "user_id"], "at")
+    return placed.select("event_id", "round", F.floor((F.col("at") - 1) / 100).cast("long").alias("batch"))

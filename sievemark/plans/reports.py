@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rules as R
+from ..operators.ranks import ranked
 from ..sources import tables as S
 from .registry import query, table
 from .texts import RULES, SCORED, VERDICTS, _answers, _verdicts
@@ -26,8 +26,7 @@ select doc_id, rule_id, strictness::bigint as strictness, row_number() over (par
 def findings_order(spark, sf_dir):
     """SRT-04."""
     f = _verdicts(spark, sf_dir).groupBy("doc_id", "rule_id").agg(F.min("strictness").cast("long").alias("strictness"), F.count("*").alias("occurrences"))
-    w = Window.partitionBy("rule_id").orderBy("strictness", F.desc("occurrences"), "doc_id")
-    return f.select("doc_id", "rule_id", "strictness", F.row_number().over(w).cast("long").alias("place"))
+    return ranked(f, ["rule_id"], ["strictness", F.desc("occurrences"), "doc_id"], "place").drop("occurrences")
 
 
 @query(f"""with {VERDICTS} select doc_id, '[' || string_agg('{{"jurisdiction":"' || jurisdiction || '","status":"' || status || '","band":"' || band || '"}}', ',' order by rule_id, jurisdiction) || ']' as verdicts from v group by doc_id""")
