@@ -1,8 +1,8 @@
 """Secret scan: a worklist unwraps nested encodings until nothing new appears and rescans every layer.
 
 A text is scanned as it is (base spans), then what decodes becomes a layer of its own that is scanned and searched
-further: the whole layer with its percent or ``\\uXXXX``, ``\\xXX`` and ``&#N;`` escapes replaced, each base64 run, also
-one wrapped over lines, and each gzip, zlib, bzip2, xz or zstd stream in a layer. Layers can be any bytes. A layer seen
+further: the whole layer with its percent or ``\\uXXXX``, ``\\xXX`` and ``&#N;`` escapes replaced, each base64 run, from
+each of its first four characters on and also wrapped over lines, and each gzip, zlib, bzip2, xz or zstd stream in a layer. Layers can be any bytes. A layer seen
 before in the same document is not entered again, so the worklist ends. Spans found in a layer are mapped back through
 all layers to code points of the original text.
 
@@ -190,9 +190,12 @@ def unwrapped(data: bytes, most: int) -> Iterator[tuple[int, bytes, Spread]]:
         if any(x[1] >= b"8" for x in BYTE_ESCAPE.finditer(data)):
             yield 0, *rewritten(data, BYTE_ESCAPE, lambda x: bytes([int(x[1], 16)]))
     for m in BASE64.finditer(data):
-        raw = decoded(m[0].rstrip(b"="))
-        full = len(raw) if opened(raw, 0) else -1  # a stream to the end takes the padding too
-        yield m.start(), raw, lambda s, e, n=full, w=len(m[0]): (s * 8 // 6, w if e == n else (e * 8 + 5) // 6)
+        run = m[0].rstrip(b"=")
+        for skip in range(min(4, len(run) - 15)):  # letters or a slash before the encoded part shift the groups of four
+            raw = decoded(run[skip:])
+            full = len(raw) if opened(raw, 0) else -1  # a stream to the end takes the padding too
+            into = lambda s, e, k=skip, n=full, w=len(m[0]): (k + s * 8 // 6, w if e == n else k + (e * 8 + 5) // 6)
+            yield m.start(), raw, into
     for m in WRAPPED.finditer(data):
         joined, spread = rewritten(m[0].rstrip(b"="), SPACE, lambda _: b"")
         if len(joined) >= 16:

@@ -88,3 +88,19 @@ def test_rewritten_spans():
     new, spread = secrets.rewritten(b"a%41%42b", secrets.ESCAPE, lambda x: bytes([int(x[1], 16)]))
     assert new == b"aABb" and [spread(i, i + 1) for i in range(4)] == [(0, 1), (1, 4), (4, 7), (7, 8)]
     assert spread(0, 4) == (0, 8) and spread(1, 3) == (1, 7)
+
+
+def test_base64_behind_letters_of_its_alphabet():
+    import base64
+    import gzip
+
+    from sievemark.llm import secrets
+
+    for body in (b"password=hunter2hunter2", gzip.compress(b"say password=hunter2hunter2 now", mtime=0)):
+        inner = base64.b64encode(body).rstrip(b"=")
+        for before in (b"", b"data/", b"/", b"blob-", b"key_", b"https://ex.com/", b"a", b"ab", b"abc"):
+            text = b"see " + before + inner + b" and more"
+            base, more, _ = secrets.scan(text)
+            start = text.index(inner)
+            assert not base
+            assert any(k == 0 and start <= s < e <= start + len(inner) for s, k, e in more), (before, body[:2])
