@@ -8,7 +8,8 @@ labelled pages exists, so pages of many layouts are generated with the label of
 
 Text of a block goes to its nearest block element. Blocks of nodes with a marginal of 0.5 or more are the main text.
 Defined results: null and empty input gives no text, input without markup its whole text; broken markup closes as
-browsers do; repeated rows give equal results; only the named columns are read; an empty table gives an empty result.
+browsers do, and is read in time in proportion to its length (see Tokens); paragraphs in a noscript element are judged
+like those beside it; repeated rows give equal results; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 RAW = set("script style textarea title".split())
 FOREIGN = {"svg", "math"}  # here and inside, a slash closes an element
 #: Elements with a node of their own that can stand within a paragraph; what is in them is judged like other blocks.
-NODES = set("template iframe select datalist".split())
+NODES = set("template iframe select datalist noscript".split())
 OPTIONS = {"option": {"option"}, "optgroup": {"option", "optgroup"}}  # open elements that an opening one ends
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -42,9 +43,10 @@ BLOCKS = set(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("""[>"']""")
+#: Tags of a page that no bracket outside quotes may end, before quotes count as other characters in the rest of it.
+BROKEN_TAGS = 16
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
@@ -57,6 +59,53 @@ HOLDERS = set("article aside div dl footer form header main menu nav ol section
 DEEPEST = 512
 
 
+class Tokens:
+    """Comments and tags of a page, each found once, so that reading takes time in proportion whatever never closes.
+
+    A tag ends at the first bracket outside quotes or, if there is none, at the first bracket; a quote that is never
+    closed is a character like others. What no bracket follows is text; a comment that never closes takes the rest.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.lone: set[str] = set()  # quotes that don't come any more
+        self.broken = 0
+
+    def tag_end(self, at: int) -> int:
+        """The place of the bracket that ends the tag; one follows."""
+        source, place = self.source, at
+        while self.broken < BROKEN_TAGS and place <= self.last:
+            place = STOP.search(source, place).start()
+            quote = source[place]
+            if quote == ">":
+                return place
+            over = -1 if quote in self.lone else source.find(quote, place + 1)
+            if over < 0:
+                self.lone.add(quote)
+            place = max(place, over) + 1
+        self.broken += 1
+        return source.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, tag (empty for other markup), whether it closes, and attributes of the next one."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                over = source.find("-->", at + 4)
+                return at, over + 3 if over >= 0 else len(source), "", False, ""
+            if at > self.last:
+                at = at + 1
+            elif source[at + 1] in "!?":
+                return at, source.find(">", at) + 1, "", False, ""
+            elif m := TAG.match(source, at):
+                over = self.tag_end(m.end())
+                return at, over + 1, m[2].lower(), bool(m[1]), source[m.end() : over]
+            else:
+                at = at + 1
+        return None
+
+
 class Open:
     """The open elements: (tag, nearest block node), with the places of each tag, so that looking one up costs nothing."""
 
@@ -143,17 +192,16 @@ class Page:
                 if places.get("a"):
                     links += len(text)
 
-        end = len(source)
+        end, tokens = len(source), Tokens(source)
         while at < end:
-            m = TOKEN.search(source, at)
-            if m is None:
+            token = tokens.next(at)
+            if token is None:
                 put(source[at:])
                 break
-            put(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            put(source[at : token[0]])
+            _, at, tag, closing, attributes = token
+            if not tag:
                 continue
-            tag, closing = m[2].lower(), bool(m[1])
             block = tag in BLOCKS or tag in NODES
             if closing:
                 if where := opened.last(tag):
@@ -165,7 +213,7 @@ class Page:
                 over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                 at = over.end() if over else end
                 continue
-            if m[3].endswith("/") and (tag in FOREIGN or opened.last(*FOREIGN)):
+            if attributes.endswith("/") and (tag in FOREIGN or opened.last(*FOREIGN)):
                 continue
             if tag in OPTIONS:
                 buffer.append(" ")
@@ -179,8 +227,10 @@ class Page:
                 continue
             if block:
                 flush()
+                if stack[-1][0] == "noscript":  # only text straight in it is its own
+                    opened.close(len(stack) - 1)
                 opened.close_implied(tag)
-                opened.push(tag, self.add(stack[-1][1], tag, m[3]))
+                opened.push(tag, self.add(stack[-1][1], tag, attributes))
             else:
                 opened.push(tag, stack[-1][1])
         flush()
@@ -222,7 +272,7 @@ class Forest:
                 share = all_link[i] / max(1, all_own[i])
                 found = {
                     "bias", f"tag {page.tag[i]}", f"up {page.tag[up] if i else ''}",
-                    f"own {min(9, own[i].bit_length())}", f"links {round(share * 4)}",
+                    f"own {min(9, own[i].bit_length())}", f"own {own[i] > 0} {page.tag[i]}", f"links {round(share * 4)}",
                     f"part {round(all_own[i] / whole * 4)}", f"links {round(share * 4)} {page.tag[i]}",
                     *(f"name {w}" for w in NAME.findall(page.names[i])),
                 }
@@ -325,7 +375,8 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             lambda: f"<{named('div', top)}>{pick([f'<h1>{say(1, 4)}</h1>', say(1, 5), links()])}</div>",
             lambda: f"<ul {pick(['class', 'id'])}=\"{pick(menu)}\">{some(2, 6, lambda: f'<li><a href=/x>{say(1, 3)}</a></li>')}</ul>",
             lambda: f"<div role={pick(['navigation', 'banner', 'contentinfo', 'complementary', 'search', 'alert', 'dialog'])}>{pick([links(), plain()])}</div>",
-            lambda: f"<dialog>{plain()}</dialog>",
+            lambda: f"<dialog>{plain()}</dialog>", lambda: f"<button>{say(1, 3)}</button>", lambda: f"<noscript>{say(3, 15)}</noscript>",
+            lambda: f"<div>{links()}</div>",
         ])()
 
     def block() -> str:
@@ -336,7 +387,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             lambda: f"<ul data-y=1>{some(2, 5, lambda: f'<li data-y=1>{text()}</li>')}</ul>",
             lambda: f"<ol data-y=1>{some(2, 5, lambda: f'<li data-y=1>{text()}</li>')}</ol>",
             lambda: f"<blockquote data-y=1><p data-y=1>{text()}</p></blockquote>", lambda: f"<pre data-y=1>{say(3, 20)}</pre>",
-            lambda: f"<p data-y=1>{say(100, 1200)}</p>", lambda: f"<div data-y=1>{text()}</div>", lambda: f"<div data-y=1><p data-y=1>{text()}</p></div>",
+            lambda: f"<p data-y=1><a href=/y>{say(3, 30)}</a></p>", lambda: f"<p data-y=1>{say(100, 1200)}</p>", lambda: f"<div data-y=1>{text()}</div>", lambda: f"<div data-y=1><p data-y=1>{text()}</p></div>",
             lambda: f"<section data-y=1><h2 data-y=1>{say(1, 6)}</h2><p data-y=1>{text()}</p></section>",
             lambda: f"<table data-y=1><tr data-y=1>{some(2, 3, lambda: f'<td data-y=1>{say(1, 8)}</td>')}</tr></table>",
             lambda: f"<figure data-y=1><img src=i><figcaption data-y=1>{say(2, 9)}</figcaption></figure>",
@@ -348,6 +399,20 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             body += some(5, 60, lambda: f"<p data-y=1>{say(1, 4)}</p>")
         if rng.random() < 0.3:
             body = f"{body}{noise()}{some(0, 3, block)}"
+        lines = lambda: f"{say(5, 80)}{some(0, 5, lambda: f'<br><br>{say(5, 80)}')}"
+        bare = rng.random()
+        if bare < 0.35:  # nothing tells where the article is
+            if rng.random() < 0.3:
+                body = f"<h1 data-y=1>{say(2, 10)}</h1>" * (rng.random() < 0.5) + lines()
+            frame = lambda b: pick([b, f"<div data-y=1>{b}</div>", f"<div data-y=1><div data-y=1>{b}</div></div>"])
+            if bare < 0.06:  # a table for the layout
+                side = f"<td>{pick([links(), noise()])}</td>"
+                top = pick(["", f"<tr><td colspan=2>{pick([noise(), links()])}</td></tr>"])
+                row = pick([side + f"<td data-y=1>{body}</td>", f"<td data-y=1>{body}</td>" + side])
+                return f"<html><body>{pick(['', noise()])}<table>{top}<tr>{row}</tr></table>{some(0, 2, noise)}</body></html>"
+            body = frame(body)
+            label = "" if body.startswith("<div") else " data-y=1"
+            return f"<html><head><title>{say(1, 5)}</title></head><body{label}>{some(0, 4, noise)}{body}{some(0, 4, noise)}</body></html>"
         main = ["content", "post", "entry", "article", "story", "article-body", "main", "text", "post-content", "entry-content", "body"]
         for wrap in range(rng.randint(1, 2)):
             body = pick([

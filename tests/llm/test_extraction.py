@@ -79,6 +79,44 @@ def test_bare_pages(model):
     ]
 
 
+@pytest.mark.parametrize("menu", ["<nav><ul><li><a href=/>Home</a><li><a href=/b>About us</a></ul></nav>", "<div class=menu><a href=/>Home</a> <a href=/b>About us</a></div>"])
+def test_articles_without_a_telling_container(model, menu):
+    """Layouts written by hand, of another make than the generated ones."""
+    say = "The committee met on Tuesday to discuss the new rules for the harbour, and no one left early."
+    more = "A second vote is planned for the spring; until then the old fees stay as they are for every boat."
+    foot = "<footer>&copy; 2020 Harbour News</footer>"
+    for body, want in (
+        (f"<h1>Harbour fees</h1><p>{say}</p><p>{more}</p>", ["Harbour fees", say, more]),
+        (f"{say} {more} {say}", [f"{say} {more} {say}"]),
+        (f"<div><h1>Harbour fees</h1><p>{say}</p><p>{more}</p></div>", ["Harbour fees", say, more]),
+        (f"<div>{say}<br><br>{more}</div>", [f"{say} {more}"]),
+        (f"<div><div><p>{say}</p><p>{more}</p></div></div>", [say, more]),
+        (f"<article><p>{say}</p><p><a href=/x>{more}</a></p><button>Share</button><noscript>Please enable JavaScript.</noscript><p>{say}</p></article>", [say, more, say]),
+    ):
+        assert model.texts([f"<html><head><title>t</title></head><body>{menu}{body}{foot}</body></html>"]) == ["\n\n".join(want)], body
+    table = f"<body><table><tr><td><ul><li><a href=/>Home</a><li><a href=/b>About us</a></ul></td><td><h1>Harbour fees</h1><p>{say}</p><p>{more}</p></td></tr></table></body>"
+    assert model.texts([table]) == [f"Harbour fees\n\n{say}\n\n{more}"]
+
+
+@pytest.mark.parametrize(
+    "broken", ["<a ", '<p title="', "<!", "<a<", "</title", """<a "'>""", "<a '\">", """<p title='"'>"""]
+)
+def test_broken_markup_is_read_in_linear_time(broken):
+    source = broken * (1_000_000 // len(broken))
+    for end in ("", '">"', ">", "'\""):
+        began = time.perf_counter()
+        extraction.Page(source + end)
+        assert time.perf_counter() - began < 3
+
+
+def test_tags_end_where_they_should():
+    inside = lambda source: [text for _, text, _ in extraction.Page(source).blocks]
+    assert inside("<p title='a>b'>x</p>") == ["x"]
+    assert inside('<p title="a>b</p><p>it ends') == ["b", "it ends"]  # the quote is never closed
+    assert inside("a < b <3 <!-- no > --> c<") == ["a < b <3 c<"]
+    assert inside("x <b y") == ["x <b y"] and inside("x<!-- y") == ["x"] and inside("<!doctype html>x<?pi?>y") == ["xy"]
+
+
 @pytest.mark.parametrize("tag", ["div", "b", "a", "li", "table", "p"])
 def test_deep_nesting_is_read_in_linear_time(model, tag):
     n = 50_000
