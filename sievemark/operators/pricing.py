@@ -38,6 +38,17 @@ def tier_faults(tiers: DataFrame) -> DataFrame:
     return n.filter("next is not null").withColumn("fault", fault).filter("fault is not null").select("code", "fault")
 
 
+def list_faults(tiers: DataFrame, key: str, code: str) -> DataFrame:
+    """Gaps and overlaps (key, code, fault) between neighbouring tiers (low, high) of many price lists, one for each key.
+
+    A tier without an upper bound must be the last of its list. Lists are short; their number doesn't matter.
+    """
+    w = Window.partitionBy(key).orderBy("low", code)
+    n = tiers.withColumn("next", F.lead("low").over(w)).filter("next is not null")
+    fault = F.when(F.col("next") > F.col("high") + 1, "gap").when((F.col("next") <= F.col("high")) | F.col("high").isNull(), "overlap")
+    return n.withColumn("fault", fault).filter("fault is not null").select(key, code, "fault")
+
+
 def first_of_keys(df: DataFrame, other: DataFrame, keys: list[str], value: str, row: str) -> DataFrame:
     """A left join on any of several keys, the earlier key first: a union of equi joins, never an OR."""
     found = None
