@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round ties each node's larger neighbours to its least one, then each node's smaller neighbours to
     their least one, until nothing changes: a logarithmic number of rounds, each one join of the links and a
-    pre-aggregated minimum. A null or a loop is no link; without links the result is empty.
+    pre-aggregated minimum. Labels of a former call can stand for the links that it was given. A null or a loop is no
+    link; without links the result is empty.
     """
     edges = common.written(
         links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -26,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         before, old = state, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.written(large.filter("u != v"), "edges")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.written(large.filter("u != v"), "edges")  # no more rows than edges; those that are equal meet below
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = common.written(small.filter("u != v").distinct(), "edges")

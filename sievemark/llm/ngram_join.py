@@ -416,6 +416,11 @@ def early(n: str, at: str, percent: int) -> str:
     return f"{100 + percent} * least(n - at, {n} - {at}) >= {percent} * (n + {n})"
 
 
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what label tells and of further links: label's stars stand for all links before."""
+    return components(label.toDF("a", "b").union(links.select("a", "b")))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, and component_id, the least id that links lead to."""
     spark = df.sparkSession
@@ -433,8 +438,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     alone = tiles(classes, percent)
     tried = common.written(stars(alone, alone, percent), "pairs")
     links = decided(tried, classes, source, words, percent)
+    label = components(links)
     while True:
-        label = components(links)
         where = tiles(classes, percent, label)
         apart = where.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
         where = common.written(where.join(apart, "token"), "apart")
@@ -450,7 +455,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
         tried, links = tried.union(more), links.union(new)
         if new.isEmpty():
             break
-        common.dropped(spark, where, label)
+        common.dropped(spark, where)
+        label = relabelled(label, new)
 
     # What is still apart and shares a shingle: everything outside the shingle's main component, against all.
     x = outside.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.struct("rep", "n", "at", "component", "before").alias("x"))
@@ -461,7 +467,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     second = common.written(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     common.dropped(spark, where)
     more = decided(second, classes, source, words, percent)
-    label = components(links.union(more))
+    if not more.isEmpty():
+        label = relabelled(label, more)
 
     named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))

@@ -96,3 +96,16 @@ def test_ids_with_several_texts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = ngram_join.join(df).collect()
     assert len(got) == 5 and {r.component_id for r in got if r.doc_id == 1} == {1} and all(r.n_shingles == 3 for r in got)
+
+
+def test_further_links_join_components(spark):
+    """Labels of earlier links and further links give the components of all of them."""
+    rng = np.random.default_rng(4)
+    first, more = ([(int(a), int(b)) for a, b in rng.integers(0, 60, (n, 2)) if a != b] for n in (35, 15))
+    up = {x: x for pair in first + more for x in pair}
+    for _ in up:
+        for a, b in first + more:
+            up[a] = up[b] = min(up[a], up[b])
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    label = ngram_join.relabelled(ngram_join.components(table(first)), table(more))
+    assert sorted(map(tuple, label.collect())) == sorted(up.items())
