@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions.batches import bounded, bounded_udf
+
 #: Fixed values of HTML.
 BLOCK_TAGS = set("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = {"script", "style", "noscript", "template", "title"}
@@ -103,6 +105,7 @@ def parsed(df: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame
                 "links": [p.links for p in pages], "tokens": [sorted(set(p.tokens)) for p in pages], "json_ld": [p.json_ld for p in pages],
             })
 
+    bounded(df.sparkSession)
     return df.select(df[key].cast("long").alias("id"), df[body].alias("body")).mapInPandas(run, PARSED)
 
 
@@ -140,7 +143,7 @@ def product_rows(bodies) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("name", "description", "currency")])))
+@bounded_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("name", "description", "currency")])))
 def _product_rows(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: product_rows([] if b is None else b))
 
