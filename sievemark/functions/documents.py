@@ -6,9 +6,10 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType
 
+from .batches import bounded_udf
+
 CODE = re.compile(r"[A-Za-z0-9_.:+\-]{0,100}")
 
 
@@ -37,11 +38,11 @@ def codes_only(text: str | None) -> bool | None:
     return None if text is None else True
 
 
-@pandas_udf(StringType())
+@bounded_udf(StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     return texts.map(sorted_json)
 
 
-@pandas_udf(BooleanType())
+@bounded_udf(BooleanType())
 def without_text(texts: pd.Series) -> pd.Series:
     return texts.map(codes_only)

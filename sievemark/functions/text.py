@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .batches import bounded_udf
+
 #: Soft hyphen, zero-width space, non-joiner and joiner, byte order mark.
 INVISIBLE = "[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF))) + "]"
 #: Quotation marks that stand around a quote.
@@ -77,7 +79,7 @@ MARKED = "áàâäãåčçćďéèêëěíìîïľĺňñńóòôöõřŕšśťú
 PLAIN = "aaaaaacccdeeeeeiiiillnnnooooorrsstuuuuuyyzzzAAAAAACCCDEEEEEIIIILLNNNOOOOORRSSTUUUUUYYZZZ"
 
 
-@F.pandas_udf(StringType())
+@bounded_udf(StringType())
 def strip_marks(text):
     """Any text decomposed, its non-spacing marks dropped, and composed again."""
     import unicodedata as u
@@ -188,6 +190,6 @@ def _cut(sentence: str, most: int) -> list[str]:
     return out + [sentence] * bool(sentence)
 
 
-@F.pandas_udf(ArrayType(StringType()))
+@bounded_udf(ArrayType(StringType()))
 def split_sentences(text):
     return text.map(sentence_list)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.batches import bounded
+
 #: UTF-8 bytes of the phrases of one block (an automaton takes some 50 times as much).
 BLOCK_BYTES = 2 << 20
 
@@ -26,6 +28,7 @@ def occurrences(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame
     blocks = max(1, -(-size // block_bytes))
     schema = StructType([texts.schema[k] for k in keys]).add("phrase", StringType())
     source = texts.filter(F.col(text).isNotNull()).select(*keys, F.col(text).cast("string").alias("body"))
+    bounded(texts.sparkSession)
     out = None
     for block in range(blocks):
         own = listed.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block)

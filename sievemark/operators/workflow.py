@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from ..functions.batches import bounded_udf
+
 
 def propagated(answers: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
     """Every question gets the latest answer that any question of the same keys (code, fingerprint) has."""
@@ -62,7 +64,7 @@ def place(text: str, changes) -> tuple[str, list[int]]:
     return "".join([*out, text[at:]]), missed
 
 
-@F.pandas_udf(StructType().add("text", StringType()).add("unplaced", ArrayType(IntegerType())))
+@bounded_udf(StructType().add("text", StringType()).add("unplaced", ArrayType(IntegerType())))
 def placed(text: pd.Series, changes: pd.Series) -> pd.DataFrame:
     """place() on columns; a null text stays null and takes no change, and a null list holds none."""
     rows = [(None, [*range(len(c))]) if t is None else place(t, c) for t, c in ((t, [] if c is None else c) for t, c in zip(text, changes, strict=True))]
@@ -125,7 +127,7 @@ def rewritten(df: DataFrame, text: str, rewrite=None, out: str = "rewritten") ->
     """
     plug = rewrite or _mock_rewrite
 
-    @F.pandas_udf("string")
+    @bounded_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         asked = texts.dropna()
         return plug(asked).reindex(texts.index) if len(asked) else texts
