@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import bounded
 
 #: Characters of a paragraph with its heading, least characters, letters in a row that make a word.
 MOST, LEAST, WORD = 1500, 3, 3
@@ -80,4 +81,5 @@ def paragraphs(judged: DataFrame, most: int = MOST, least: int = LEAST, word: in
             ]
             yield pd.DataFrame(rows, columns=["id", "paragraph", "heading", "text"])
 
+    bounded(judged.sparkSession)
     return judged.select("id", blocks.alias("blocks")).mapInPandas(run, FIELDS)
