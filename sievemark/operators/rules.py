@@ -7,13 +7,21 @@ the data; `compiled` refuses more than MOST_RULES.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.batches import bounded
 
 MOST_RULES = 5_000
 #: Order of statuses, groups of checkability, severities and bands, strictest first.
@@ -165,33 +173,101 @@ def merged_same_text(judged: DataFrame, text: str, url: str) -> DataFrame:
     )
 
 
-#: Sizes of a text's head by which a text that it begins with is looked for: each for lengths up to the next.
-HEADS = (1, 4, 16, 64)
+#: log2 of the bits (64 MB) that tell which texts may be inner ones, and bits for each; when full, more stretches are looked up.
+MARK_BITS, MARKS = 29, 5
+#: The base of the hash that marks are set by; odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+
+
+class Stretches:
+    """Hashes of stretches of a text: sums of its code points times powers of the base, shifted back to the start."""
+
+    def __init__(self):
+        self.powers, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def sums(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        if len(points) >= len(self.powers):
+            steps = np.ones(2 * len(points) + 1, np.uint64)
+            steps[1:] = BASE
+            self.powers = np.multiply.accumulate(steps)
+            steps[1:] = pow(BASE, -1, 1 << 64)
+            self.inverse = np.multiply.accumulate(steps)
+        return np.r_[np.uint64(0), np.add.accumulate(points * self.powers[: len(points)])]
+
+    def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, group: str) -> np.ndarray:
+        x = (sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(32)) ^ np.uint64(zlib.crc32(group.encode()))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
+def mark(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of the places that a hash marks."""
+    return (x + np.uint64(k) * (x >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << MARK_BITS) - 1)
+
+
+def marks(texts: DataFrame) -> np.ndarray:
+    """Words of the bits that the texts (group, text) set; of fixed size, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretches, one = Stretches(), np.zeros(1, np.int64)
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            for group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.append(stretches.hashes(stretches.sums(text), one, one + len(text), group))
+            hashes = np.concatenate(found)
+            places = np.unique(np.concatenate([mark(hashes, k) for k in range(MARKS)]))
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], ["place"])
+
+    words = texts.mapInArrow(run, "place long").groupBy(F.shiftright("place", 6).alias("word"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << MARK_BITS - 6, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
 
 
 def contained(outer: DataFrame, inner: DataFrame, group: str, most: int) -> DataFrame:
     """(group, outer, inner), as digests, of the texts of inner that stand in one of outer with at most `most` further characters.
 
-    outer, inner: (group, text), distinct. Only hashes are joined: places of outer where a text of inner may begin, by its
-    head; then the stretches from there, whole. A row meets one text at most, so no group is a hot key.
+    outer, inner: (group, text), distinct. The texts of inner set bits, by a hash, in a filter of fixed size; of a text of
+    outer only those stretches go on whose bits are set, as digests, and meet the digests of inner. A row meets one text at
+    most, so no group is a hot key; what the filter lets through wrongly meets none.
     """
-    parts = inner.filter("text != ''").select(group, F.length("text").alias("n"), "text")
-    ends = (*HEADS[1:], 1 << 31)
-    size = F.lit(HEADS[0])
-    for k in HEADS[1:]:
-        size = F.when(F.col("n") >= k, k).otherwise(size)
-    heads = parts.withColumn("k", size)
-    heads = heads.select(group, "k", F.md5(F.expr("left(text, k)").cast("binary")).alias("head")).distinct()
-    whole = outer.select(group, digest(F.col("text")).alias("outer"), F.length("text").alias("n"), "text")
-    at = whole.select(group, "outer", "n", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n") - 1))).alias("at")).filter("n > 0")
-    ks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e - 1).alias("upto")) for k, e in zip(HEADS, ends, strict=True)]))
-    at = at.select("*", ks.alias("h")).filter(F.expr(f"h.k <= n - at and h.upto >= n - {most}"))
-    at = at.select(group, "outer", "at", "h.k", "h.upto", F.md5(F.expr("substring(text, at + 1, h.k)").cast("binary")).alias("head"))
-    at = at.join(heads, [group, "k", "head"], "left_semi").join(whole, [group, "outer"])
-    span = F.explode(F.expr(f"sequence(greatest(k, n - {most}), least(upto, n - at))"))
-    stretch = at.filter(F.expr(f"greatest(k, n - {most}) <= least(upto, n - at)")).select(group, "outer", "at", "text", span.alias("length"))
-    stretch = stretch.select(group, "outer", F.md5(F.expr("substring(text, at + 1, length)").cast("binary")).alias("inner"))
-    return stretch.distinct().join(parts.select(group, digest(F.col("text")).alias("inner")), [group, "inner"], "left_semi")
+    spark = inner.sparkSession
+    bounded(spark)
+    parts = inner.filter("text != ''").select(group, "text")
+    named = lambda df: df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name"), "text")
+    held = spark.sparkContext.broadcast(marks(named(parts)))
+    ends = [(a, e) for a in range(most + 1) for e in range(most + 1 - a)]
+    starts, tails = (np.array(x, np.int64) for x in zip(*ends, strict=True))
+    schema = StructType([outer.schema[group]]).add("outer", StringType()).add("inner", StringType())
+    fields = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretches, bits = Stretches(), held.value
+        for batch in batches:
+            rows, whole, part = [], [], []
+            for row, (name, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                n = len(text)
+                fits = slice(None) if n > most else starts + tails < n
+                start, end = starts[fits], n - tails[fits]
+                x = stretches.hashes(stretches.sums(text), start, end, name)
+                for k in range(MARKS):
+                    at = mark(x, k)
+                    keep = bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+                    start, end, x = start[keep], end[keep], x[keep]
+                inside = {text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)}
+                if inside:
+                    rows += [row] * len(inside)
+                    whole += [hashlib.md5(text.encode()).hexdigest()] * len(inside)
+                    part += [hashlib.md5(x.encode()).hexdigest() for x in inside]
+            groups = batch.column(0).take(pa.array(rows, pa.int64())).cast(fields[0].type)
+            yield pa.RecordBatch.from_arrays([groups, pa.array(whole, pa.string()).cast(fields[1].type), pa.array(part, pa.string()).cast(fields[2].type)], schema=fields)
+
+    asked = outer.filter("text != ''").select(group, F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name"), "text")
+    found = asked.mapInArrow(run, schema)
+    return found.join(parts.select(group, digest(F.col("text")).alias("inner")), [group, "inner"], "left_semi").select(group, "outer", "inner")
 
 
 def digest(text: Column) -> Column:
