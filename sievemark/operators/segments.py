@@ -23,16 +23,17 @@ def with_context(df: DataFrame, key: str, before: int = 2, after: int = 2) -> Da
 def dedupe(df: DataFrame, key: str, site: str) -> DataFrame:
     """One row per normalized sentence: hash, the first text, occurrences, documents, and sites as first seen.
 
-    Sites are first cut down to one row each, so a frequent sentence gathers its sites only.
+    Rows are first cut down to one for each sentence, document and site, and those to one for each sentence and site, so a
+    frequent sentence gathers its sites only. Digests are binary until the end, so that they sort by their first bytes.
     """
-    hashed = df.withColumn("hash", T.sha(T.normalized(F.col("sentence"))))
+    hashed = df.select(key, "pos", F.col(site).alias("site"), "sentence", F.unhex(F.sha2(F.concat_ws("\x1f", T.normalized(F.col("sentence"))), 256)).alias("digest"))
     at = F.struct(key, "pos")
-    texts = hashed.groupBy("hash").agg(
-        F.min_by("sentence", at).alias("text"), F.count("*").alias("occurrences"), F.count_distinct(F.col(key)).alias("documents")
-    )
-    first = hashed.groupBy("hash", F.col(site).alias("site")).agg(F.min(at).alias("at"))
-    sites = F.transform(F.array_sort(F.collect_list(F.struct("at", "site"))), lambda r: r["site"])
-    return texts.join(first.groupBy("hash").agg(sites.alias("sites")), "hash")
+    first = hashed.groupBy("digest", "site").agg(F.min(F.struct(at.alias("at"), F.col("sentence").alias("text"))).alias("first"), F.count("*").alias("n"))
+    documents = hashed.groupBy("digest").agg(F.count_distinct(F.col(key)).alias("documents"))
+    sites = F.transform(F.array_sort(F.collect_list(F.struct("first.at", "site"))), lambda r: r["site"])
+    whole = first.groupBy("digest").agg(F.min("first")["text"].alias("text"), F.sum("n").alias("occurrences"), sites.alias("sites"))
+    name = F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))).alias("hash")
+    return whole.join(documents, "digest").select(name, "text", "occurrences", "documents", "sites")
 
 
 def boilerplate(df: DataFrame, key: str, site: str, least: int = 3, share: float = 0.3) -> DataFrame:
