@@ -19,6 +19,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,27 @@ from . import common
 #: Words of the lexicon, and how many each partition proposes. Bounds of what is broadcast; they change no result.
 LEXICON_WORDS, PROPOSED_WORDS = 40_000, 20_000
 LONGEST = 48  # bytes of a lexicon word
-CACHE_WORDS = 150_000
+CACHE_WORDS = 150_000  # from so many known chunks on, those that the next ones don't need go
+LEARNED_WORDS = 50_000  # new chunks that are cut and merged at once
 TEXT_BYTES = 1 << 20  # of one Arrow batch
 
 #: A space before white space or at the end: splitting before spaces then isn't what the rule does.
 IRREGULAR = re.compile(
-    rb" (?:[ \t-\r\x1c-\x1f]|\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+    rb" (?=[ \t-\r\x1c-\x1f]|\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 )
 
+#: Stands for such a space; no UTF-8 has this byte.
+MARK = b"\xff"
+
+#: Classes of bytes in chunks whose words end where the class changes: letters (of ASCII and U+00C0 to U+023F), digits,
+#: white space, others. A chunk with an odd byte, white space behind white space, or U+00D7 or U+00F7 is cut by the full rule.
+LETTER, DIGIT, WHITE, OTHER, ODD = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC2), *range(0xC3, 0xC9)]] = LETTER
+KINDS[range(48, 58)] = DIGIT
+KINDS[[*range(9, 14), 32]] = WHITE
+KINDS[[*range(0x1C, 0x20), ord("'"), 0xC2, *range(0xC9, 256)]] = ODD
+
 #: The file's own rule for words, as published with byte-level BPE.
 WORD = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -50,6 +64,54 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Positions:
+    """Where each key stands among sorted distinct ones: a table of slots, and a search where keys share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.r_[keys, -1]
+        self.bits = max(8, int(len(keys)).bit_length() + 3)
+        slots = self._slots(keys)
+        self.at = np.full(1 << self.bits, len(keys), np.int32)
+        self.at[slots] = np.arange(len(keys))
+        self.shared = np.bincount(slots, minlength=1 << self.bits) > 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key (none is negative), or the number of keys where it isn't among them."""
+        none = len(self.keys) - 1
+        slots = self._slots(keys)
+        at = self.at[slots].astype(np.int64)
+        other = self.keys[at] != keys
+        again = np.flatnonzero(other & self.shared[slots])
+        at[other] = none
+        if len(again):
+            found = np.searchsorted(self.keys[:-1], keys[again])
+            at[again] = np.where(self.keys[found] == keys[again], found, none)
+        return at
+
+
+class Strings:
+    """Many byte strings in one array."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, which: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of these numbers one behind the other, and where each ends."""
+        lengths = self.lengths[which]
+        return self.flat[ranges(self.starts[which], lengths)].tobytes(), np.cumsum(lengths)
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one behind the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Vocabulary:
     """Token bytes, merges and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -65,7 +127,6 @@ class Vocabulary:
             self.token_bytes[i] = bytes(symbols[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token
-        self.decimals = [str(i).encode() for i in range(size)]
         of = {self.token_bytes[i]: i for i in vocab.values()}
         self.byte_ids = np.array([of[bytes([b])] for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -74,44 +135,52 @@ class Vocabulary:
         if len(np.unique(made)) != len(made):
             raise ValueError("a token has two merges; rounds of equal pairs need one")
         keys, first = np.unique(keys, return_index=True)
-        self.keys, self.ranks, self.made = keys, first, made[first]
+        self.pairs, self.ranks, self.made = Positions(keys), np.r_[first, len(keys)], made
+        self.decimals = Strings([str(i).encode() + b"," for i in range(size)])
+        self.shown = Strings(self.token_bytes)
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of merges where it has none."""
+        return self.ranks[self.pairs.find(left << 32 | right)]
 
-    def merged(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: in every round each word merges its pairs of lowest rank.
+    def merged(self, body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, which stand one behind the other in body, and the number of ids of each word.
 
-        Every token is made by one merge, so what a round makes can only join in pairs of higher rank.
+        In every round each word merges its pairs of lowest rank; only the pairs beside a merge are looked up anew. Every
+        token is made by one merge, so what a round makes can only join in pairs of higher rank.
         """
-        out: list[list[int]] = [[] for _ in words]
-        flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        none = len(self.keys)
+        flat, none = self.byte_ids[body], len(self.made)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        rank = np.full(len(flat), none, np.int64)  # of each token and the next one
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self.ranked(flat[inside], flat[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(flat):
-            keys = flat[:-1] << 32 | flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), none - 1)
-            found = (self.keys[at] == keys) & (owner[:-1] == owner[1:])
-            order = np.where(found, self.ranks[at], none).astype(np.int64)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(np.r_[order, none], starts)
-            whose = owner[starts]
-            more = best < none
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(flat)]))
+            over = best == none
+            if over.any():
+                done.append((owner[over], flat[over]))
+                flat, owner, rank, best = flat[~over], owner[~over], rank[~over], best[~over]
             # All the word's pairs of that rank at once, leftmost first: of pairs that overlap, every other one.
-            least = np.full(len(words), -1)
-            least[whose[more]] = best[more]
-            place = np.flatnonzero(found & (self.ranks[at] == least[owner[:-1]]))
+            place = np.flatnonzero(rank == best)
             first = np.r_[True, np.diff(place) > 1][: len(place)]
             place = place[(place - place[first][np.cumsum(first) - 1]) % 2 == 0]
-            flat[place] = self.made[at[place]]
+            flat[place] = self.made[rank[place]]
             keep = np.ones(len(flat), bool)
             keep[place + 1] = False
-            done = np.zeros(len(words), bool)
-            done[whose[~more]] = True
-            over = done[owner]
-            ends = np.r_[starts[1:], len(flat)]
-            for w, s, e in zip(whose[~more].tolist(), starts[~more].tolist(), ends[~more].tolist(), strict=True):
-                out[w] = flat[s:e].tolist()
-            keep &= ~over
-            flat, owner = flat[keep], owner[keep]
-        return out
+            flat, owner, rank = flat[keep], owner[keep], rank[keep]
+            place -= np.arange(len(place))
+            beside = np.r_[place, place[place > 0] - 1]
+            last = np.minimum(beside + 1, len(flat) - 1)
+            pair = (last > beside) & (owner[beside] == owner[last])
+            rank[beside] = none
+            beside, last = beside[pair], last[pair]
+            rank[beside] = self.ranked(flat[beside], flat[last])
+        if not done:
+            return flat, np.zeros(len(lengths), np.int64)
+        owner, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
 
 
 def compiled(words: list[bytes], ids: list[list[int]]) -> bytes:
@@ -184,24 +253,22 @@ class Lexicon:
             dtype = by_number[number]
             parts.append(np.asarray(whole[at : at + length * dtype.itemsize].view(dtype)))  # plain arrays slice faster
             at += length * dtype.itemsize + -(length * dtype.itemsize) % 8
-        self.root, self.keys, self.target, self.output, self.finals, self.starts, self.ids = parts
+        self.root, keys, self.target, self.output, self.finals, self.starts, self.ids = parts
+        self.arcs = Positions(keys)
 
-    def indexes(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word in the lexicon, or -1; all words advance by one byte at a time."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        result = np.full(len(words), -1, np.int64)
-        if not len(self.keys) or not len(words):
-            return result
-        body = np.frombuffer(b"".join(words), np.uint8)
+    def indexes(self, body: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of each word in the lexicon, or -1; words stand one behind the other and all advance by one byte at a time."""
         starts = np.cumsum(lengths) - lengths
+        result = np.full(len(lengths), -1, np.int64)
+        if not len(self.target):
+            return result
         who = np.flatnonzero((lengths > 0) & (lengths <= LONGEST))
         state = np.full(len(who), self.root[0], np.int64)
         number = np.zeros(len(who), np.int64)
         depth = 0
         while len(who):
-            keys = state << 8 | body[starts[who] + depth]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            ok = self.keys[at] == keys
+            at = self.arcs.find(state << 8 | body[starts[who] + depth])
+            ok = at < len(self.target)
             who, at = who[ok], at[ok]
             state, number = self.target[at].astype(np.int64), number[ok] + self.output[at]
             depth += 1
@@ -212,11 +279,16 @@ class Lexicon:
         return result
 
     def words_ids(self, words: list[bytes]) -> list[list[int] | None]:
-        at = self.indexes(words).tolist()
+        at = self.indexes(*flattened(words)).tolist()
         starts, ids = self.starts, self.ids
         return [ids[starts[i] : starts[i + 1]].tolist() if i >= 0 else None for i in at]
 
 
+def flattened(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words one behind the other, and their lengths."""
+    return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does with the same file; decodes ids by their bytes."""
 
@@ -227,8 +299,9 @@ class Encoder:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.lexicon = Lexicon(image) if image else None
         self.special = re.compile(b"(" + b"|".join(map(re.escape, self.vocabulary.special)) + b")") if self.vocabulary.special else None
-        #: Words (with their space) to decimal ids, number of ids, and the bytes that the ids decode to.
-        self.known: dict[bytes, tuple[bytes, int, bytes]] = {}
+        #: Keys of chunks (see keys()) to decimal ids and the bytes that the ids decode to; those of a while ago.
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes]] = {}
 
     def pieces(self, text: bytes) -> list[bytes]:
         """The words of a piece of text by the file's own rule."""
@@ -241,68 +314,118 @@ class Encoder:
             return [x.encode() for x in WORD.findall(whole)]
         return [whole[s:e].encode() for _, (s, e) in self.cut(whole)]
 
+    def cuts(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks one behind the other, the lengths of their words, and the number of words of each.
+
+        Words of plain chunks end where the class of the bytes changes; the others are cut by the full rule.
+        """
+        body, lengths = flattened(chunks)
+        starts = np.cumsum(lengths) - lengths
+        kind = KINDS[body]
+        begins = np.zeros(len(body), bool)
+        begins[starts] = True
+        space = starts[(body[starts] == 32) & (lengths > 1)]
+        odd = kind == ODD
+        odd[1:] |= ~begins[1:] & ((kind[1:] == WHITE) & (kind[:-1] == WHITE) | (body[:-1] == 0xC3) & ((body[1:] == 0x97) | (body[1:] == 0xB7)))
+        kind[space] = kind[space + 1]
+        begins[1:] |= kind[1:] != kind[:-1]
+        for i in np.flatnonzero(np.logical_or.reduceat(odd, starts)).tolist():
+            at, end = starts[i], starts[i] + lengths[i]
+            begins[at:end] = False
+            begins[at + np.cumsum([0, *map(len, self.pieces(chunks[i].replace(MARK, b" "))[:-1])])] = True
+        words = np.flatnonzero(begins)
+        body = np.where(body == MARK[0], 32, body).astype(np.uint8)
+        return body, np.diff(np.r_[words, len(body)]), np.diff(np.r_[np.searchsorted(words, starts), len(words)])
+
+    def words_ids(self, body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, which stand one behind the other in body, and the number of ids of each word."""
+        if self.lexicon is None:
+            return self.vocabulary.merged(body, lengths)
+        at = self.lexicon.indexes(body, lengths)
+        new = at < 0
+        ids, some = self.vocabulary.merged(body[np.repeat(new, lengths)], lengths[new])
+        starts = self.lexicon.starts[at[~new]]
+        counts = np.zeros(len(lengths), np.int64)
+        counts[new], counts[~new] = some, self.lexicon.starts[at[~new] + 1] - starts
+        merged = np.repeat(new, counts)
+        out = np.empty(len(merged), np.int64)
+        out[merged], out[~merged] = ids, self.lexicon.ids[ranges(starts, counts[~new])]
+        return out, counts
+
     def encoded_words(self, words: list[bytes]) -> list[list[int]]:
-        found = self.lexicon.words_ids(words) if self.lexicon else [None] * len(words)
-        unseen = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(unseen, self.vocabulary.merged([words[i] for i in unseen]), strict=True):
-            found[i] = ids
-        return found  # type: ignore[return-value]
+        ids, counts = self.words_ids(*flattened(words))
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if words else []
 
     def decoded(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Make every chunk known; a chunk is one or several words."""
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        cuts = [self.pieces(c) for c in new]
-        words = list({w for cut in cuts for w in cut})
-        ids = dict(zip(words, self.encoded_words(words), strict=True))
-        decimal, shown = self.vocabulary.decimals.__getitem__, self.vocabulary.token_bytes.__getitem__
-        for chunk, cut in zip(new, cuts, strict=True):
-            own = ids[cut[0]] if len(cut) == 1 else [i for w in cut for i in ids[w]]
-            self.known[chunk] = (b",".join(map(decimal, own)), len(own), b"".join(map(shown, own)))
-
-    def chunks(self, text: bytes) -> list[bytes]:
-        """Pieces that can be encoded apart from each other: words with the space before them, or by the full rule."""
+    def learn(self, keys: Iterable[bytes]) -> None:
+        """Make the chunk of every key known."""
+        known, before = self.known, self.before
+        new = [k for k in keys if k not in known]
+        known.update({k: before[k] for k in new if k in before})
+        new = [k for k in new if k not in before]
+        for at in range(0, len(new), LEARNED_WORDS):
+            some = new[at : at + LEARNED_WORDS]
+            body, lengths, words = self.cuts([chunk_of(k) for k in some])
+            ids, counts = self.words_ids(body, lengths)
+            last = np.cumsum(counts)[np.cumsum(words) - 1] - 1  # the last token of each chunk
+            columns = []
+            for strings, comma in ((self.vocabulary.decimals, 1), (self.vocabulary.shown, 0)):
+                whole, ends = strings.joined(ids)
+                to = ends[last].tolist()
+                columns.append([whole[s : e - comma] for s, e in zip([0, *to], to)])  # noqa: B905
+            known.update(zip(some, zip(*columns, strict=True), strict=True))
+
+    def keys(self, text: bytes) -> list[bytes]:
+        """The chunks that can be encoded apart from each other, each by a key: a chunk is what stands from one space that
+        white space does not follow up to the next. The key of a chunk with that space is the rest, that of one without is
+        the chunk behind a space; in keys spaces that white space follows are MARK."""
         if not text:
             return []
         if self.special and b"<" in text and (parts := self.special.split(text))[1:]:
-            return [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self.chunks(p))]
-        if IRREGULAR.search(text):
-            whole = text.decode()
-            return [whole[s:e].encode() for _, (s, e) in self.cut(whole)]
-        first, *rest = text.split(b" ")
-        return [first, *[b" " + x for x in rest]] if first else [b" " + x for x in rest]
+            return [k for i, p in enumerate(parts) for k in ([b" " + p] if i % 2 else self.keys(p))]
+        first, *rest = IRREGULAR.sub(MARK, text).split(b" ")
+        return [b" " + first, *rest] if first else rest
 
     def digests(self, bodies: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Tokens, SHA-256 of the decimal ids joined by commas, and SHA-256 of the decoded text, for each text."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         for t, i in self.vocabulary.special.items():
-            self.known[t] = (str(i).encode(), 1, self.decoded([i]))
-        cut = [self.chunks(body) for body in bodies]
+            self.known[b" " + t] = (str(i).encode(), self.decoded([i]))
+        cut = [self.keys(body) for body in bodies]
         self.learn(set().union(*cut))
         for own in cut:
-            found = [self.known[c] for c in own]
-            ids, counts, back = zip(*found, strict=True) if found else ((), (), ())
-            yield sum(counts), hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
+            found = list(map(self.known.__getitem__, own))
+            ids = b",".join([x for x, _ in found])
+            back = b"".join([x for _, x in found])
+            yield ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        body = self.chunks(text.encode())
         out: list[int] = []
-        for c in body:
-            if c in self.vocabulary.special:
+        for k in self.keys(text.encode()):
+            if (c := chunk_of(k)) in self.vocabulary.special:
                 out.append(self.vocabulary.special[c])
             else:
-                out += [i for ids in self.encoded_words(self.pieces(c)) for i in ids]
+                body, lengths, _ = self.cuts([c])
+                out += self.words_ids(body, lengths)[0].tolist()
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decoded(ids).decode("utf-8", "replace")
 
 
+def chunk_of(key: bytes) -> bytes:
+    return key[1:] if key[:1] == b" " else b" " + key
+
+
+@lru_cache(1)
+def worker_encoder(path: str, image: bytes) -> Encoder:
+    """The encoder of a Python worker, which its next task goes on with."""
+    return Encoder(path, image)
+
+
 def frequent_words(df: DataFrame, most: int = LEXICON_WORDS, proposed: int = PROPOSED_WORDS) -> list[bytes]:
     """The words of all texts of id_and_text() with the highest counts, at most `most`.
 
@@ -354,7 +477,7 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, name: str, schema: str, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary_path(name), image.value)
+            encoder = encoder or worker_encoder(vocabulary_path(name), image.value)
             ids, bodies = common.texts(batch)
             gc.disable()  # many small objects and no cycles: counting references frees them all
             try:

@@ -47,3 +47,35 @@ def test_documents(spark):
     got = sorted((r.doc_id, r.n_tokens) for r in bpe.encode_documents(df).collect())
     assert got == sorted((i, len(LIBRARY.encode(t or "").ids)) for i, t, _ in rows)
     assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZé×÷ºª² \u0085ȿɐ日\x1c'.,19\n\t  "), max_size=12), max_size=6))
+def test_same_as_the_library_over_many_texts(texts):
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [n for n, *_ in ENCODER.digests([t.encode() for t in texts])]
+    assert got == list(map(len, want)) and [ENCODER.encode(t) for t in texts] == want
+
+
+def test_latin_characters_between_letters():
+    for i in range(0x80, 0x260):
+        check(f"a{chr(i)}b {chr(i)}1 {chr(i)}")
+
+
+def test_known_words_last_over_batches(monkeypatch):
+    """Words that come again are merged once, however many others a worker has met; what comes once goes."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    encoder, merged = bpe.Encoder(PATH), []
+    monkeypatch.setattr(encoder.vocabulary, "merged", lambda *x, f=encoder.vocabulary.merged: merged.append(len(x[-1])) or f(*x))
+    common = [f"w{'ab'[i % 2] * i}" for i in range(1, 31)]
+    for batch in range(20):
+        text = " ".join([*common, *(f"{'xyz'[k % 3] * k}{'q' * batch}" for k in range(1, 31))])
+        check_one = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert next(encoder.digests([text.encode()]))[0] == len(check_one)
+        assert len(encoder.known) <= 50 + 62
+    assert sum(merged) <= len(common) + 20 * 30 + 1 + len(encoder.vocabulary.special)
+
+
+def test_overlapping_pairs_and_long_words():
+    for text in ("a" * 5, "aaaa aaa", "ababab" * 7, "é" * 33, "日本" * 20, "x" * 3000 + "y", "0" * 77, "-" * 130):
+        check(text)
