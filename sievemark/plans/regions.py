@@ -54,8 +54,9 @@ def page_regions(spark, sf_dir):
 
 @query(f"""with {PARTS} select page_id, len(main) as n_blocks, sha256(array_to_string(main, chr(10))) as text_sha256 from own""")
 def main_by_density(spark, sf_dir):
-    """GEN-03: the main text without a look at main and article elements; it is theirs nevertheless."""
-    found = E.judged(pages(spark, sf_dir), tell=False)
+    """GEN-03: the main text without a look at main and article elements; it is theirs nevertheless. Headings may be cut
+    in a character reference."""
+    found = E.judged(pages(spark, sf_dir), tell=False, closed=True)
     return found.select(F.col("id").alias("page_id"), F.size(_texts("main")).cast("long").alias("n_blocks"), _joined(_texts("main")).alias("text_sha256"))
 
 
