@@ -45,8 +45,9 @@ REGIONS = {"navigation": "menu", "rest": "rest", "main": "main", "chrome": "fram
 
 @query(f"""with {PARTS} {" union all ".join(f"select page_id, '{r}' as region, len({c}) as n_blocks, sha256(array_to_string({c}, chr(10))) as text_sha256 from own where len({c}) > 0" for r, c in REGIONS.items())}""")
 def page_regions(spark, sf_dir):
-    """GEN-02: each page's regions with their texts; the pages hold no tiles (a fixture does)."""
-    found = E.judged(pages(spark, sf_dir))
+    """GEN-02: each page's regions with their texts; the pages hold no tiles (a fixture does). Headings may be cut in a
+    character reference."""
+    found = E.judged(pages(spark, sf_dir), closed=True)
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("region"), _texts(r).alias("texts")) for r in (*REGIONS, "tile")]))
     rows = found.select(F.col("id").alias("page_id"), each.alias("r")).filter(F.size("r.texts") > 0)
     return rows.select("page_id", "r.region", F.size("r.texts").cast("long").alias("n_blocks"), _joined(F.col("r.texts")).alias("text_sha256"))
@@ -69,7 +70,7 @@ def skip_regions(spark, sf_dir):
     """DOM-08: skip regions of a profile. Main text stays, though `article > p` would skip it, and so does a page whose
     skip region `body` holds the check region."""
     rules = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(a).alias("action"), F.lit(r).alias("role")) for s, a, r in PROFILE])
-    found = E.judged(pages(spark, sf_dir).withColumn("rules", rules), rules="rules")
+    found = E.judged(pages(spark, sf_dir).withColumn("rules", rules), rules="rules", closed=True)
     count = lambda keep: F.size(F.filter("blocks", keep)).cast("long")
     return found.select(
         F.col("id").alias("page_id"),

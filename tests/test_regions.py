@@ -12,7 +12,7 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title>Token = {0}</title></head>
 <footer>&copy; shop.example &middot; Imprint</footer></body></html>"""
 
 
-@pytest.mark.parametrize("name", ["main_by_density"])
+@pytest.mark.parametrize("name", ["main_by_density", "page_regions", "skip_regions"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     pages = [(i, "https://shop.example/en/1", PAGE.format(x, "Token = &quot;" if i < len(CUTS) else "An advert.")) for i, x in enumerate(CUTS * 2)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
